@@ -48,9 +48,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A source whose target is r times its size gives floor(r) certain copies of each document. The rest of its
     target is a Pareto order sample with inclusion probability p = r - floor(r): each document draws a uniform u from
-    its id and text, and the documents with the smallest odds(u) / odds(p) are taken, up to the cumulative size
-    nearest to what is missing. The cut of each source is found digit by digit over histograms of the
-    ranks, so that a source with a third of all rows is summed in parallel and never sorted in one task.
+    its id and text, and the documents with the smallest odds(u) / odds(p) are taken as long as their sizes fit into what
+    is missing; one more document beyond that cut is taken if its size brings the source nearer to its target.
+    The cut of each source is found digit by digit over histograms of the ranks, so that a source with a third of all rows
+    is summed in parallel and never sorted in one task.
 
     Null text has size 0; null sources are one source, the last. Rows that repeat an id and text share one draw.
     Documents of size 0 are drawn like others and take 0 words. An empty table gives an empty result.
@@ -79,21 +80,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rank = F.when(F.col("p") > 0, (odds / (1 + odds) * F.lit(float(1 << RANK_BITS))).cast("long"))
     ranked = _same_source(rows, _per_source(spark, plan, schema)).withColumn("rank", rank)
     cuts = _cuts(ranked, plan)
-    chosen = F.coalesce(F.col("rank") <= F.col("cut"), F.lit(False))
+    chosen = F.coalesce((F.col("rank") <= F.col("cut")) | (F.col("rank") == F.col("more")), F.lit(False))
     return (
-        _same_source(ranked, _per_source(spark, cuts, "source string, cut long"))
+        _same_source(ranked, _per_source(spark, cuts, "source string, cut long, more long"))
         .withColumn("copies", (F.col("whole") + chosen.cast("int")).cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int]]:
-    """The largest rank that each source takes: (source, cut); -1 where it takes none."""
+def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int, int]]:
+    """(source, cut, more): ranks up to cut are taken (-1: none), and the rank more (-1: no other)."""
     spark = ranked.sparkSession
     cut = {p[0]: -1 for p in plan}
     #: source -> (leading digits of the cut so far, size of all documents below them)
     at = {p[0]: (0, 0) for p in plan if p[5] > 0}
     missing = {p[0]: p[5] for p in plan}
+    gap: dict[str | None, float] = {}
     for shift in range(RANK_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
         if not at:
             break
@@ -121,10 +123,15 @@ def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int]]:
             elif shift:
                 after[source] = (edge_row["digits"], edge_row["cum"] - edge_row["size"])
             else:
-                over, under = edge_row["cum"] - missing[source], missing[source] - (edge_row["cum"] - edge_row["size"])
-                cut[source] = edge_row["digits"] if over <= under else edge_row["digits"] - 1
+                exact = edge_row["cum"] == missing[source]
+                cut[source] = edge_row["digits"] if exact else edge_row["digits"] - 1
+                gap[source] = 0.0 if exact else missing[source] - (edge_row["cum"] - edge_row["size"])
         at = after
-    return list(cut.items())
+    open_ = _per_source(spark, [(s, cut[s], g) for s, g in gap.items() if g > 0], "source string, cut long, gap double")
+    beyond = _same_source(ranked.where("p > 0").select("source", "size", "rank"), open_).where("rank > cut and size < 2 * gap")
+    nearest = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "rank")).alias("best"))
+    more = {r["source"]: r["best"]["rank"] for r in nearest.toLocalIterator()}
+    return [(s, c, more.get(s, -1)) for s, c in cut.items()]
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
