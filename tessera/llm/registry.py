@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, mixing, ngram_join, token_counts, warc
+from . import ann, bpe, exact_dedup, mixing, ngram_join, quality, token_counts, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[Query] = [op1_warc, op2_ann, op3_token_counts, op5_bpe, op8_ngram_join, op9_mixing, op10_exact_dedup]
+_QUERIES: list[Query] = [op1_warc, op2_ann, op3_token_counts, op5_bpe, op6_quality, op8_ngram_join, op9_mixing, op10_exact_dedup]
 
 _ORACLES = {
     "op10_exact_dedup": r"""
