@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, mixing, ngram_join, quality, token_counts, warc
+from . import ann, bpe, exact_dedup, line_runs, mixing, ngram_join, quality, token_counts, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[Query] = [op1_warc, op2_ann, op3_token_counts, op5_bpe, op6_quality, op8_ngram_join, op9_mixing, op10_exact_dedup]
+_QUERIES: list[Query] = [op1_warc, op2_ann, op3_token_counts, op5_bpe, op6_quality, op7_line_runs, op8_ngram_join, op9_mixing, op10_exact_dedup]
 
 _ORACLES = {
     "op10_exact_dedup": r"""
