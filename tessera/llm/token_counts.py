@@ -18,6 +18,26 @@ LIMIT = 512
 PAIRS = 2_000_000
 
 
+class _Known(dict):
+    """Token counts of whole pieces; a missing one is computed."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self._count = counter.prefixes
+
+    def __missing__(self, piece: str) -> int:
+        found = self._count(piece.encode("utf-8"))[-1]
+        if len(piece) <= SHORT:
+            self[piece] = found
+        return found
+
+    def trim(self) -> None:
+        """Forget the older half when there are too many."""
+        if len(self) > 2 * CACHE:
+            for piece in [p for p, _ in zip(self, range(CACHE), strict=False)]:
+                del self[piece]
+
+
 class PrefixCounter:
     """Token counts of all prefixes of a piece.
 
@@ -35,12 +55,22 @@ class PrefixCounter:
         self.single = [self.merges.ids[s] for s in symbols]
         self.token = {bytes(byte_of[c] for c in t): i for t, i in self.merges.ids.items() if all(c in byte_of for c in t)}
         self.text = {i: t for t, i in self.token.items()}
-        self.longest = max(map(len, self.token))
+        self.trie = self._trie()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         self.piece = regex.compile(PIECE)
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = _Known(self)
+
+    def _trie(self) -> tuple:
+        """Nodes (token that ends here or -1, children by byte)."""
+        root: list = [-1, {}]
+        for data, t in self.token.items():
+            node = root
+            for b in data:
+                node = node[1].setdefault(b, [-1, {}])
+            node[0] = t
+        return root
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether the two tokens stay as they are when they are encoded together."""
@@ -54,50 +84,48 @@ class PrefixCounter:
 
     def prefixes(self, data: bytes) -> list[int]:
         """counts[i]: tokens of data[:i], for i from 0 to its length."""
-        n, token, counts, last = len(data), self.token.get, [0], [-1]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = token(data[start:end])
-                if t is not None and (start == 0 or self._apart(last[start], t)):
-                    last.append(t)
-                    counts.append(counts[start] + 1)
+        n, root, known = len(data), self.trie, self.pairs.get
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            node, before, count = root, last[start], counts[start] + 1
+            for end in range(start + 1, n + 1):
+                node = node[1].get(data[end - 1])
+                if node is None:
                     break
+                t = node[0]
+                if t >= 0 and last[end] < 0:
+                    if start:
+                        apart = known(before << 20 | t)
+                        if apart is None:
+                            apart = self._apart(before, t)
+                        if not apart:
+                            continue
+                    last[end], counts[end] = t, count
         return counts
 
-    def _piece(self, piece: str) -> tuple[int, int]:
-        """(tokens, bytes) of a whole piece."""
-        data = piece.encode("utf-8")
-        found = (self.prefixes(data)[-1], len(data))
-        if len(piece) <= SHORT:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[piece] = found
-        return found
-
-    def pieces(self, text: str) -> list[tuple[str, int, int]]:
-        """(piece, tokens, bytes) of a text in order; a special token is one piece."""
-        out, get = [], self.known.get
+    def counts_of(self, text: str) -> tuple[list[str], list[int]]:
+        """The pieces of a text in order and the tokens of each; a special token is one piece."""
+        pieces, counts, get = [], [], self.known.__getitem__
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
-            if k % 2:
-                out.append((part, 1, len(part.encode())))
-            else:
-                out += [(p, *(get(p) or self._piece(p))) for p in self.piece.findall(part)]
-        return out
+            found = [part] if k % 2 else self.piece.findall(part)
+            pieces += found
+            counts += [1] if k % 2 else map(get, found)
+        self.known.trim()
+        return pieces, counts
 
     def count(self, text: str | None) -> int:
-        return sum(n for _, n, _ in self.pieces(text or ""))
+        return sum(self.counts_of(text or "")[1])
 
-    def within(self, pieces: list[tuple[str, int, int]], budget: int) -> int:
+    def within(self, pieces: list[str], counts: list[int], budget: int) -> int:
         """Bytes of the longest prefix, cut between characters, that has at most `budget` tokens within the text's own pieces."""
         tokens = size = 0
-        for piece, n, length in pieces:
+        for piece, n in zip(pieces, counts, strict=True):
+            data = piece.encode("utf-8")
             if tokens + n > budget:
-                data = piece.encode("utf-8")
                 if piece in self.added:
                     return size
-                ends = [i for i, c in enumerate(self.prefixes(data)) if tokens + c <= budget and (i == length or data[i] & 0xC0 != 0x80)]
-                return size + max(ends)
-            tokens, size = tokens + n, size + length
+                return size + max(i for i, c in enumerate(self.prefixes(data)) if tokens + c <= budget and (i == len(data) or data[i] & 0xC0 != 0x80))
+            tokens, size = tokens + n, size + len(data)
         return size
 
     def prefix_counts(self, text: str) -> list[int]:
@@ -107,7 +135,7 @@ class PrefixCounter:
         pattern would split the cut piece otherwise (a run of white space before a word, a cut contraction).
         """
         out = [0]
-        for piece, n, _ in self.pieces(text):
+        for piece, n in zip(*self.counts_of(text), strict=True):
             base, data = out[-1], piece.encode("utf-8")
             out += [base + n] * len(data) if piece in self.added else [base + c for c in self.prefixes(data)[1:]]
         return out
@@ -134,10 +162,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         for batch in batches:
             sizes, counts, cuts = [], [], []
             for text in batch.column(1).to_pylist():
-                found = dp.pieces(text) if text else []
-                counts.append(sum(x[1] for x in found))
-                sizes.append(sum(x[2] for x in found))
-                cuts.append(dp.within(found, limit) if counts[-1] > limit else sizes[-1])
+                pieces, each = dp.counts_of(text) if text else ([], [])
+                counts.append(sum(each))
+                sizes.append(len(text.encode("utf-8")) if text else 0)
+                cuts.append(dp.within(pieces, each, limit) if counts[-1] > limit else sizes[-1])
             n = pa.array(counts, pa.int64())
             over = pa.array([c > limit for c in counts], pa.bool_())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), n, over, pa.array(cuts, pa.int64())]

@@ -62,9 +62,9 @@ def test_every_prefix_is_exact():
 def test_budget_cut():
     ours = token_counts.PrefixCounter(BYTE)
     text = "Some words that are countedéé in préfixes. " * 5
-    pieces = ours.pieces(text)
+    pieces = ours.counts_of(text)
     for budget in range(0, 60, 7):
-        cut = ours.within(pieces, budget)
+        cut = ours.within(*pieces, budget)
         counts = ours.prefix_counts(text)
         assert counts[cut] <= budget
         assert cut == len(text.encode()) or min(counts[cut + 2 :], default=99) > budget or counts[cut + 1] > budget
