@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, line_runs, mixing, ngram_join, quality, token_counts, warc
+from . import ann, bpe, exact_dedup, line_runs, maxent, mixing, ngram_join, quality, token_counts, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[Query] = [op1_warc, op2_ann, op3_token_counts, op5_bpe, op6_quality, op7_line_runs, op8_ngram_join, op9_mixing, op10_exact_dedup]
+_QUERIES: list[Query] = [op1_warc, op2_ann, op3_token_counts, op4_maxent, op5_bpe, op6_quality, op7_line_runs, op8_ngram_join, op9_mixing, op10_exact_dedup]
 
 _ORACLES = {
     "op10_exact_dedup": r"""
