@@ -33,7 +33,7 @@ SMALL = 24
 #: Pairs that one set verifies in one group of rows.
 STAR = 512
 FANOUT = 16
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 SLOTS = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,13 +79,13 @@ def set_name(shingles: np.ndarray) -> int:
 
 def count_vector(shingles: np.ndarray) -> bytes:
     counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def vectors_of(column: list[bytes]) -> np.ndarray:
     """Count vectors as a matrix; a counter that has run over bounds nothing."""
-    found = np.frombuffer(b"".join(column), "<u2").reshape(-1, GROUPS).astype(np.int64)
-    found[found == 65535] = 1 << 40
+    found = np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    found[found == 255] = 1 << 24
     return found
 
 
@@ -103,7 +103,7 @@ class CountTree:
     """R-tree over count vectors, packed by sorting; a node keeps its upper corner and its least set size."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        wide = np.argsort(-vectors.clip(max=65535).var(axis=0), kind="stable")[:2] if len(vectors) else [0, 1]
+        wide = np.argsort(-vectors.clip(max=255).var(axis=0), kind="stable")[:2] if len(vectors) else [0, 1]
         self.order = np.lexsort((vectors[:, wide[1]], vectors[:, wide[0]] // 4, sizes // 8)) if len(vectors) else np.zeros(0, np.int64)
         self.levels = [(vectors[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > 1:
@@ -167,13 +167,16 @@ def _sketch(summary: DataFrame) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
-    """(key, salt, name, n): each set under its rarest shingles; shingles that may be frequent are salted."""
+    """(key, salt, name, n, pos): each set under its rarest shingles, with their places in its order of rarity.
+
+    Shingles that may be frequent are salted.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((sketch, 2 * int(np.median(sketch))))
 
     def run(batches):
         cut, (often, background) = Shingler(words), sent.value
         for batch in batches:
-            keys, salts, names, sizes = [], [], [], []
+            keys, salts, names, sizes, places = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 found = cut(text)
                 n = len(found)
@@ -186,11 +189,12 @@ def _entries(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
                 parts = (seen[rare] - background).clip(0) // BLOCK + 1
                 salts.append(np.where(parts > 1, 1 + (name & (2**63 - 1)) % parts, 0).astype(np.int32))
                 names.append(np.full(len(rare), name, np.int64))
-                sizes.append(np.full(len(rare), n, np.int64))
+                sizes.append(np.full(len(rare), n, np.int32))
+                places.append(np.arange(len(rare), dtype=np.int32))
             join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays([join(keys, np.int64), join(salts, np.int32), join(names, np.int64), join(sizes, np.int64)], names=["key", "salt", "name", "n"])
+            yield pa.RecordBatch.from_arrays([join(keys, np.int64), join(salts, np.int32), join(names, np.int64), join(sizes, np.int32), join(places, np.int32)], names=["key", "salt", "name", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "key long, salt int, name long, n long")
+    return docs.select("text").mapInArrow(run, "key long, salt int, name long, n int, pos int")
 
 
 def _meet(batches, columns: int):
@@ -199,31 +203,36 @@ def _meet(batches, columns: int):
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None
 
 
+def reach(n, pos):
+    """A pair whose first common shingle is at these places of sets of these sizes has an intersection of at most the smaller reach."""
+    return n - pos
+
+
 def _blocks(entries: DataFrame) -> DataFrame:
-    """Staged (key, name, pivot, salted): the members of each block of two sets or more, and its smallest set.
+    """Staged (key, name, n, pos, pivot, salted): the members of each block of two sets or more, and its pivot.
 
-    A salted shingle has several blocks; their pivots meet once more.
+    The pivot is the set with the fewest rarer shingles of its own, so the one nearest to what the block has in
+    common. A salted shingle has several blocks; their pivots meet once more.
     """
-    schema = "key long, name long, pivot long, salted boolean"
 
     def gather(batches):
-        got = _meet(batches, 4)
+        got = _meet(batches, 5)
         if got is None:
             return
-        key, salt, name, n = got
-        order = np.lexsort((name, n, salt, key))
-        key, salt, name = key[order], salt[order], name[order]
+        key, salt, name, n, pos = got
+        order = np.lexsort((name, n, pos, salt, key))
+        key, salt, name, n, pos = (x[order] for x in (key, salt, name, n, pos))
         new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
-        twice = ~new & np.r_[False, name[1:] == name[:-1]]  # equal sets
-        key, salt, name, new = key[~twice], salt[~twice], name[~twice], new[~twice]
+        once = new | np.r_[True, name[1:] != name[:-1]]  # equal sets are next to each other
+        key, salt, name, n, pos, new = (x[once] for x in (key, salt, name, n, pos, new))
         starts = np.flatnonzero(new)
         counts = np.diff(np.r_[starts, len(key)])
         pivot = np.repeat(name[starts], counts)
-        salted = salt > 0
-        keep = np.repeat(counts > 1, counts) | salted
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep]), pa.array(pivot[keep]), pa.array(salted[keep])], names=["key", "name", "pivot", "salted"])
+        keep = np.repeat(counts > 1, counts) | (salt > 0)
+        columns = (key, name, n, pos, pivot, salt > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "name", "n", "pos", "pivot", "salted"])
 
-    return stage(entries.repartition("key", "salt").mapInArrow(gather, schema), "blocks")
+    return stage(entries.repartition("key", "salt").mapInArrow(gather, "key long, name long, n int, pos int, pivot long, salted boolean"), "blocks")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -306,58 +315,79 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
     return stage(met.mapInArrow(check, "u long, v long"), "links")
 
 
-def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
+def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
     """(a, b): what may still link sets of one block that no link connects so far.
 
     Only blocks that hold several components are looked at. The rows of a block's largest component are dealt over its
     parts, the others go to each part; R-trees over the parts then find the pairs across components that the bounds allow.
     """
-    of = blocks.join(joined.withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("component", "name").alias("component"))
+    of = blocks.join(joined.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "pos", F.coalesce("component", "name").alias("component"))
     sizes = of.groupBy("key", "component").agg(F.count("*").alias("rows"))
     keys = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.count("*").alias("kinds"), F.max_by("component", "rows").alias("largest"))
-    mixed = stage(keys.where("kinds > 1 and rows > 2").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"), "largest"), "mixed")
+    mixed = stage(keys.where("kinds > 1").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"), "largest"), "mixed")
     rows = of.join(mixed, "key").join(classes.select("name", "n", "vector"), "name")
     other = F.col("component") != F.col("largest")
     part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")))
-    dealt = rows.select("key", F.explode(part).alias("part"), "name", "component", "n", "vector", other.alias("other"))
+    dealt = rows.select("key", F.explode(part).alias("part"), "name", "component", "n", "pos", other.alias("other"), "vector")
     met = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "name")
 
     def search(batches):
-        held: list[list] = [[] for _ in range(6)]
-        at = None
+        seen: list[np.ndarray] = []
 
-        def found():
-            name, component, n = (np.array(held[k], np.int64) for k in (0, 1, 2))
-            other, vectors = np.array(held[4], bool), vectors_of(held[3])
-            a, b = [], []
+        def found(name, component, n, pos, other, column):
+            vectors, left = vectors_of(column), reach(n, pos)
             if len(name) <= SMALL:
-                bound = np.minimum(vectors[:, None, :], vectors[None, :, :]).sum(axis=2)
-                fits = np.triu((bound >= needed(n[:, None], n[None, :])) & (component[:, None] != component[None, :]), 1)
-                i, j = np.nonzero(fits & (HUNDRED * np.minimum.outer(n, n) >= SIMILAR * np.maximum.outer(n, n)))
-                a, b = [name[i]], [name[j]]
-            else:
-                tree = CountTree(vectors, n)
-                for i in np.flatnonzero(other):
-                    near = tree.search(vectors[i], n[i])
-                    near = near[(component[near] != component[i]) & (~other[near] | (near > i))]
-                    a.append(np.full(len(near), name[i]))
-                    b.append(name[near])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for key, part, name, component, n, vector, other in zip(*columns, strict=True):
-                if at != (key, part):
-                    if len(held[0]) > 1:
-                        yield found()
-                    held, at = [[] for _ in range(6)], (key, part)
-                for column, value in zip(held, (name, component, n, vector, other), strict=False):
-                    column.append(value)
-        if len(held[0]) > 1:
-            yield found()
-
-    return met.mapInArrow(search, "a long, b long").distinct()
+                bound = np.minimum(np.minimum(vectors[:, None, :], vectors[None, :, :]).sum(axis=2), np.minimum.outer(left, left))
+                fits = (bound >= needed(n[:, None], n[None, :])) & (component[:, None] != component[None, :])
+                i, j = np.nonzero(np.triu(fits & (HUNDRED * np.minimum.outer(n, n) >= SIMILAR * np.maximum.outer(n, n)), 1))
+                yield name[i], name[j]
+                return
+            tree = CountTree(vectors, n)
+            for i in np.flatnonzero(other):
+                near = tree.search(vectors[i], n[i])
+                near = near[(component[near] != component[i]) & (~other[near] | (near > i))]
+                near = near[np.minimum(left[near], left[i]) >= needed(n[near], n[i])]
+                if len(near):
+                    yield np.full(len(near), name[i]), name[near]
+
+        def out():
+            if seen:
+                both = np.unique(np.concatenate(seen), axis=0)
+                seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        rows = 0
+        for block in _groups(batches, 7):
+            if len(block[0]) > 1:
+                for a, b in found(*block[2:]):
+                    seen.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
+                    rows += len(a)
+                    if rows > 500_000:
+                        yield from out()
+                        rows = 0
+        yield from out()
+
+    old = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.mapInArrow(search, "a long, b long").distinct().join(old, ["a", "b"], "left_anti")
+
+
+def _groups(batches, width: int):
+    """The rows of each (key, part) in turn: `width` arrays and the vectors."""
+    held: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
+        vectors = batch.column(width).to_pylist()
+        cuts = np.r_[0, np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1, batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part = [*(c[lo:hi] for c in columns), vectors[lo:hi]]
+            if held and (held[-1][0][0] != part[0][0] or held[-1][1][0] != part[1][0]):
+                yield [*(np.concatenate(c) for c in zip(*(h[:-1] for h in held), strict=True)), [v for h in held for v in h[-1]]]
+                held = []
+            held.append(part)
+    if held:
+        yield [*(np.concatenate(c) for c in zip(*(h[:-1] for h in held), strict=True)), [v for h in held for v in h[-1]]]
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -379,13 +409,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = _sketch(summary)
     classes = stage(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("vector").alias("vector")), "classes")
     blocks = _blocks(_entries(docs, sketch, words))
-    stars = blocks.where("name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b"))
-    tops = blocks.where("salted").groupBy("key").agg(F.min("pivot").alias("b"))
+    # each set with the pivot that it shares the most blocks with
+    stars = blocks.where("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("common"))
+    stars = stars.groupBy("name").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("b")).select(F.col("name").alias("a"), "b")
+    tops = blocks.where("salted").groupBy("key").agg(F.min(F.struct("pos", "n", "name")).alias("top")).select("key", F.col("top.name").alias("b"))
     over = blocks.where("salted").select("key", F.col("pivot").alias("a")).distinct().join(tops, "key").where("a <> b").select("a", "b")
-    first = _verified(_bounded(stars.unionAll(over).distinct(), classes), docs, classes, words)
-    joined = components(first)
-    second = _verified(_bounded(_across(blocks, joined, classes), classes), docs, classes, words)
-    final = components(first.unionAll(second)) if not second.isEmpty() else joined
+    first = _bounded(stars.unionAll(over).distinct(), classes)
+    links = _verified(first, docs, classes, words)
+    joined = components(links)
+    second = _verified(_bounded(_across(blocks, joined, classes, first), classes), docs, classes, words)
+    final = components(links.unionAll(second)) if not second.isEmpty() else joined
     member = classes.select("name", "doc_id").join(final.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     member = stage(member, "members")
     least = stage(member.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
