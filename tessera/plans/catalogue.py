@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import data_queries, snapshot_queries, stream_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (snapshot_queries, data_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
