@@ -7,7 +7,7 @@ import base64
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 
 def content_hash(data: Column) -> Column:
@@ -35,7 +35,7 @@ def base16(data: Column) -> Column:
     return F.concat(F.lit("f"), F.lower(F.hex(data)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def base32(data: pd.Series) -> pd.Series:
     """Multibase b: lower-case base32 without padding."""
     return data.map(lambda b: None if b is None else "b" + base64.b32encode(b).decode().lower().rstrip("="))
