@@ -58,6 +58,31 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: list[Query] = [op1_warc, op2_ann, op3_token_counts, op4_maxent, op5_bpe, op6_quality, op7_line_runs, op8_ngram_join, op9_mixing, op10_exact_dedup]
 
 _ORACLES = {
+    # without a recursive step the digest's base32 form is read off five bytes at a time
+    "op1_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS data FROM pages),
+        d AS (SELECT page_id, octet_length(data) AS n, sha1(data) AS h, max(page_id) OVER (PARTITION BY data) AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((CAST('0x' || substr(h, CAST(10 * (i // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)
+                   FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
+        FROM d
+    """,
+    "op8_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (SELECT a AS doc_id, a AS other FROM pairs UNION SELECT r.doc_id, p.b FROM reach r JOIN pairs p ON p.a = r.other),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id FROM s LEFT JOIN least l USING (doc_id)
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
