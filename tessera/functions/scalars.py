@@ -152,3 +152,72 @@ def decompressed(data: pd.Series) -> pd.Series:
         return None if frame is None else zstandard.ZstdDecompressor().decompressobj().decompress(frame)
 
     return data.map(unpack)
+
+
+def short_hash(hash_hex: Column, digits: int = 12) -> Column:
+    return F.substring(hash_hex, 1, digits)
+
+
+def derived(context: str, secret: Column) -> Column:
+    """Digest that stands in for a derived secret: one for each context."""
+    return F.sha2(F.concat(F.lit(context), secret), 256)
+
+
+def vault_id(master: Column) -> Column:
+    """First 16 bytes of a vault's derived secret."""
+    return F.substring(derived("vault id", master), 1, 32)
+
+
+def did_key(text: Column) -> Column:
+    """Key part of a decentralised identifier, or null."""
+    part = F.regexp_extract(text, r"^did:s5:(z[1-9A-HJ-NP-Za-km-z]+)$", 1)
+    return F.when(part != "", part)
+
+
+def message(kind: Column, key_hex: Column, revision: Column, hash_hex: Column) -> Column:
+    """Wire form of a registry message in hexadecimal: a type byte, the key, the revision big-endian, the hash."""
+    return F.lower(F.concat(F.when(kind == "Stream", "08").otherwise("07"), key_hex, F.lpad(F.hex(revision.cast("long")), 16, "0"), hash_hex))
+
+
+def message_fields(wire: Column, key_digits: int = 64) -> Column:
+    """struct(type, key, revision, hash, error) of a wire form."""
+    tag, at = F.substring(wire, 1, 2), 3 + key_digits
+    error = F.when(~tag.isin("07", "08"), "type").when(F.length(wire) != at - 1 + 16 + 64, "length")
+    return F.struct(
+        F.when(tag == "08", "Stream").when(tag == "07", "Registry").alias("type"),
+        F.substring(wire, 3, key_digits).alias("key"),
+        F.conv(F.substring(wire, at, 16), 16, 10).cast("long").alias("revision"),
+        F.substring(wire, at + 16, 64).alias("hash"),
+        error.alias("error"),
+    )
+
+
+def pack_header(members: Column) -> Column:
+    """Header of a pack in hexadecimal from an array of struct(key, offset): magic, version, count, then 12-byte keys with their offsets."""
+    row = lambda m: F.concat(F.substring(m["key"], 1, 24), F.lpad(F.hex(m["offset"].cast("long")), 16, "0"))
+    return F.lower(F.concat(F.lit("53355041434B01"), F.lpad(F.hex(F.size(members).cast("long")), 8, "0"), F.array_join(F.transform(F.array_sort(members), row), "")))
+
+
+def pack_members(header: Column) -> Column:
+    """Array of struct(key, offset) of a header; null where magic, version or length do not fit."""
+    count = F.conv(F.substring(header, 15, 8), 16, 10).cast("int")
+    fits = F.startswith(header, F.lit("53355041434b01")) & (F.length(header) == 22 + 40 * count)
+    one = lambda k: F.struct(F.substring(header, 23 + 40 * k, F.lit(24)).alias("key"), F.conv(F.substring(header, 47 + 40 * k, F.lit(16)), 16, 10).cast("long").alias("offset"))
+    return F.when(fits, F.transform(F.sequence(F.lit(0), count - 1), one))
+
+
+@F.pandas_udf(StringType())
+def base58(data: pd.Series) -> pd.Series:
+    """Multibase z: base58 of bytes."""
+    digits = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+    def one(b):
+        if b is None:
+            return None
+        n, out = int.from_bytes(b), ""
+        while n:
+            n, k = divmod(n, 58)
+            out = digits[k] + out
+        return "z" + "1" * (len(b) - len(b.lstrip(b"\0"))) + out
+
+    return data.map(one)
