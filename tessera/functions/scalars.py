@@ -168,9 +168,9 @@ def vault_id(master: Column) -> Column:
     return F.substring(derived("vault id", master), 1, 32)
 
 
-def did_key(text: Column) -> Column:
-    """Key part of a decentralised identifier, or null."""
-    part = F.regexp_extract(text, r"^did:s5:(z[1-9A-HJ-NP-Za-km-z]+)$", 1)
+def did_key(text: Column, method: str) -> Column:
+    """Key part of a decentralised identifier of a method, or null."""
+    part = F.regexp_extract(text, rf"^did:{method}:(z[1-9A-HJ-NP-Za-km-z]+)$", 1)
     return F.when(part != "", part)
 
 
@@ -193,16 +193,16 @@ def message_fields(wire: Column, key_digits: int = 64) -> Column:
 
 
 def pack_header(members: Column) -> Column:
-    """Header of a pack in hexadecimal from an array of struct(key, offset): magic, version, count, then 12-byte keys with their offsets."""
+    """Header of a pack in hexadecimal from an array of struct(key, offset): magic with version, count, then 12-byte keys with their offsets."""
     row = lambda m: F.concat(F.substring(m["key"], 1, 24), F.lpad(F.hex(m["offset"].cast("long")), 16, "0"))
-    return F.lower(F.concat(F.lit("53355041434B01"), F.lpad(F.hex(F.size(members).cast("long")), 8, "0"), F.array_join(F.transform(F.array_sort(members), row), "")))
+    return F.lower(F.concat(F.lit("545350414B01"), F.lpad(F.hex(F.size(members).cast("long")), 8, "0"), F.array_join(F.transform(F.array_sort(members), row), "")))
 
 
 def pack_members(header: Column) -> Column:
     """Array of struct(key, offset) of a header; null where magic, version or length do not fit."""
-    count = F.conv(F.substring(header, 15, 8), 16, 10).cast("int")
-    fits = F.startswith(header, F.lit("53355041434b01")) & (F.length(header) == 22 + 40 * count)
-    one = lambda k: F.struct(F.substring(header, 23 + 40 * k, F.lit(24)).alias("key"), F.conv(F.substring(header, 47 + 40 * k, F.lit(16)), 16, 10).cast("long").alias("offset"))
+    count = F.conv(F.substring(header, 13, 8), 16, 10).cast("int")
+    fits = F.startswith(header, F.lit("545350414b01")) & (F.length(header) == 20 + 40 * count)
+    one = lambda k: F.struct(F.substring(header, 21 + 40 * k, F.lit(24)).alias("key"), F.conv(F.substring(header, 45 + 40 * k, F.lit(16)), 16, 10).cast("long").alias("offset"))
     return F.when(fits, F.transform(F.sequence(F.lit(0), count - 1), one))
 
 

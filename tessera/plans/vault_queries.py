@@ -209,8 +209,8 @@ def version_walk(spark, sf):
 @query("""SELECT c_custkey, substr(sha256(c_name), 1, 12) AS short, sha256('node key' || c_name) AS secret, substr(sha256('vault id' || c_name), 1, 32) AS vault_id, CASE WHEN c_custkey % 2 = 0 THEN 'z' || replace(CAST(c_custkey + 1 AS VARCHAR), '0', 'a') END AS did FROM customer""")
 def identity_scalars(spark, sf):
     c = fx.table(spark, sf, "customer")
-    did = F.when(F.expr("c_custkey % 2 = 0"), F.concat(F.lit("did:s5:z"), F.translate((F.col("c_custkey") + 1).cast("string"), "0", "a"))).otherwise(_s("did:web:", F.col("c_custkey")))
-    return c.select("c_custkey", scalars.short_hash(F.sha2("c_name", 256)).alias("short"), scalars.derived("node key", F.col("c_name")).alias("secret"), scalars.vault_id(F.col("c_name")).alias("vault_id"), scalars.did_key(did).alias("did"))
+    did = F.when(F.expr("c_custkey % 2 = 0"), F.concat(F.lit("did:key:z"), F.translate((F.col("c_custkey") + 1).cast("string"), "0", "a"))).otherwise(_s("did:web:", F.col("c_custkey")))
+    return c.select("c_custkey", scalars.short_hash(F.sha2("c_name", 256)).alias("short"), scalars.derived("node key", F.col("c_name")).alias("secret"), scalars.vault_id(F.col("c_name")).alias("vault_id"), scalars.did_key(did, "key").alias("did"))
 
 
 @query(f"""WITH {fx.REGISTRY_LOG} SELECT seq, CASE WHEN type = 'Stream' THEN '08' ELSE '07' END || sha256(CAST(stream_key AS VARCHAR)) || lower(printf('%016X', revision)) || hash AS wire, type, sha256(CAST(stream_key AS VARCHAR)) AS key, revision, hash, CAST(NULL AS VARCHAR) AS error FROM log""")
