@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import lean, stage
 
 #: Codebooks are fitted on at most this many vectors, those with the smallest hashes of their ids.
 SAMPLE = 16_384
@@ -110,7 +110,7 @@ def build_index(rows: DataFrame, books: Codebooks, d: int) -> DataFrame:
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(norms), batch.column(1)], names=["vec_id", "code", "norm", "v"])
 
-    return stage(rows.where(F.size("v") == d).mapInArrow(run, "vec_id long, code binary, norm float, v array<float>"), "codes")
+    return stage(rows.where(F.size("v") == d).mapInArrow(lean(run), "vec_id long, code binary, norm float, v array<float>"), "codes")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def search_block(index: DataFrame, books: Codebooks, d: int, ids: np.ndarray, qu
         found = np.isfinite(best_d)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, found.sum(1))), pa.array(best_i[found]), pa.array(best_d[found])], names=["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.mapInArrow(lean(run), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import collapsed, stage
+from .shared import collapsed, lean, stage
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -172,7 +172,7 @@ def index(found: DataFrame) -> DataFrame:
     """
     rows = found.select("digest", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("n"))
     schema = "digest binary, keep_id long, keep_uid long, n long"
-    return stage(rows.mapInArrow(_fold(FLUSH), schema).repartition("digest").mapInArrow(_fold(None), schema), "index")
+    return stage(rows.mapInArrow(lean(_fold(FLUSH)), schema).repartition("digest").mapInArrow(lean(_fold(None)), schema), "index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +201,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     result = stage(exact_dedup(docs, id_col, text_col), "decisions")
     repeated = result.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
-    dropped = result.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct()
+    dropped = stage(result.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct(), "dropped")
     if repeated.isEmpty():
         return docs.join(dropped, F.col(id_col) == F.col("_drop_id"), "left_anti")
     kept = result.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, drop_staged, stage
+from .shared import WORD, drop_staged, lean, stage
 
 #: A run is removed if it has so many words.
 LEAST_WORDS = 50
@@ -138,14 +138,14 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_
     lines = lines_of(docs, id_col, text_col)
     ranks = _ranked(lines, "h1", "h2")
     active = lines.join(ranks, ["h1", "h2"])
-    start = stage(_sorted(active.select(*_with_id(active), "i", "words", "rank")).mapInArrow(_runs(least), _LEVEL), "level")
+    start = stage(_sorted(active.select(*_with_id(active), "i", "words", "rank")).mapInArrow(lean(_runs(least)), _LEVEL), "level")
     drop_staged(ranks)
     now = start.where("length = 0 and most > 0")
     copies, level = None, 0
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "i")
     while True:
         rows = now.unionAll(start.where(F.col("length").between(1 << level, (2 << level) - 1)))
-        met = stage(_sorted(rows.select(*_with_id(rows), "i", "length", "most", "rank")).mapInArrow(_meetings(level), _MEET), "meetings")
+        met = stage(_sorted(rows.select(*_with_id(rows), "i", "length", "most", "rank")).mapInArrow(lean(_meetings(level)), _MEET), "meetings")
         runs = met.where("length > 0")
         first = stage(runs.groupBy("length", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "intervals")
         late = stage(runs.join(first, ["length", "a", "b"]).where(place > F.col("first")).select("uid", "doc_id", "i", "length"), "copies")
@@ -185,7 +185,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id"
     has its own row. An empty table gives an empty result. Other columns are ignored.
     """
     lines, copies = repeated_runs(docs, least, id_col, text_col)
-    spans = stage(_sorted(copies.select("uid", "i", "length").distinct()).mapInArrow(_merged, "uid long, spans array<struct<start:int,end:int>>"), "spans")
+    spans = stage(_sorted(copies.select("uid", "i", "length").distinct()).mapInArrow(lean(_merged), "uid long, spans array<struct<start:int,end:int>>"), "spans")
     gone = spans.select("uid", F.explode("spans").alias("s")).select("uid", F.explode(F.sequence(F.col("s.start"), F.col("s.end") - 1)).alias("i"), F.lit(1).alias("hit"))
     counts = lines.join(gone, ["uid", "i"], "left").groupBy("uid", F.col("doc_id").alias("doc_id"))
     counts = counts.agg(F.count("*").alias("n_lines"), F.count("hit").alias("removed_lines"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("words"))), F.lit(0)).cast("long").alias("removed_words"))

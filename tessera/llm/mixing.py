@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, stage
@@ -43,8 +43,43 @@ def _same_source(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
+def _ranked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Rows with the figures of their source and, where it takes a part of its documents, their rank in its order."""
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    rank = F.when(F.col("p") > 0, (odds / (1 + odds) * F.lit(float(1 << RANK_BITS))).cast("long"))
+    return _same_source(rows, per_source).withColumn("rank", rank)
+
+
+_PLAN = "source string, source_size long, target double, whole int, p double, missing double"
+_FULL = f"{_PLAN}, cut long, more long"
+
+
+def _copies() -> Column:
+    """Certain copies, and one more for the documents that the sample takes."""
+    return F.col("whole") + F.coalesce((F.col("rank") <= F.col("cut")) | (F.col("rank") == F.col("more")), F.lit(False)).cast("int")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> dict:
+    """What the mix needs to know of a row: its source, size and draw."""
+    text = F.col(text_col)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") / F.lit(float(1 << 53))
+    return {"source": F.col(source_col).cast("string"), "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "u": draw}
+
+
+def _plan(rows: DataFrame) -> list[tuple]:
+    """A row of _FULL for each source."""
+    sizes = {r["source"]: int(r["total"]) for r in rows.groupBy("source").agg(F.sum("size").alias("total")).toLocalIterator()}
+    aim, plan = targets(sizes), []
+    for source, total in sizes.items():
+        ratio = aim[source] / total if total else 0.0
+        whole = min(int(ratio), int(MAX_COPIES))
+        plan.append((source, total, aim[source], whole, ratio - whole, aim[source] - whole * total))
+    cuts = {c[0]: c[1:] for c in _cuts(_ranked(rows, _per_source(rows.sparkSession, plan, _PLAN)), plan)}
+    return [(*p, *cuts[p[0]]) for p in plan]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """Staged plan of the mix: doc_id, source, size, source_size, target, copies, taken for each row.
+    """The mix: doc_id, source, size, source_size, target, copies, taken for each row.
 
     A source whose target is r times its size gives floor(r) certain copies of each document. The rest of its
     target is a Pareto order sample with inclusion probability p = r - floor(r): each document draws a uniform u from
@@ -56,36 +91,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text has size 0; null sources are one source, the last. Rows that repeat an id and text share one draw.
     Documents of size 0 are drawn like others and take 0 words. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text = F.col(text_col)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") / F.lit(float(1 << 53))
-    rows = stage(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            draw.alias("u"),
-        ),
-        "sizes",
-    )
-    sizes = {r["source"]: int(r["total"]) for r in rows.groupBy("source").agg(F.sum("size").alias("total")).toLocalIterator()}
-    aim = targets(sizes)
-    plan = []
-    for source, total in sizes.items():
-        ratio = aim[source] / total if total else 0.0
-        whole = min(int(ratio), int(MAX_COPIES))
-        plan.append((source, total, aim[source], whole, ratio - whole, aim[source] - whole * total))
-    schema = "source string, source_size long, target double, whole int, p double, missing double"
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    rank = F.when(F.col("p") > 0, (odds / (1 + odds) * F.lit(float(1 << RANK_BITS))).cast("long"))
-    ranked = _same_source(rows, _per_source(spark, plan, schema)).withColumn("rank", rank)
-    cuts = _cuts(ranked, plan)
-    chosen = F.coalesce((F.col("rank") <= F.col("cut")) | (F.col("rank") == F.col("more")), F.lit(False))
-    return (
-        _same_source(ranked, _per_source(spark, cuts, "source string, cut long, more long"))
-        .withColumn("copies", (F.col("whole") + chosen.cast("int")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, seed).items())), "sizes")
+    plan = _per_source(docs.sparkSession, _plan(rows), _FULL)
+    found = _ranked(rows, plan).withColumn("copies", _copies().cast("long"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int, int]]:
@@ -134,9 +143,13 @@ def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int, i
     return [(s, c, more.get(s, -1)) for s, c in cut.items()]
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    plan = mix(docs, id_col, text_col, source_col)
-    taken = stage(plan.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")), "copies")
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_doc_id"), F.col(id_col).eqNullSafe(F.col("_doc_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_doc_id")
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken.
+
+    Each row is drawn where it is read, with the figures of its source: texts are not shuffled.
+    """
+    kept = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    rows = docs.select(kept, *(c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, seed).items()))
+    sizes = stage(rows.select("source", "size", "u"), "sizes")
+    drawn = _ranked(rows, _per_source(docs.sparkSession, _plan(sizes), _FULL)).withColumn("copies", _copies()).where("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

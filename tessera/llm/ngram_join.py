@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_staged, stage
+from .shared import drop_staged, lean, stage
 
 WORDS = 5
 #: Two sets link when HUNDRED * intersection >= SIMILAR * union.
@@ -145,7 +145,7 @@ def _summary(docs: DataFrame, words: int) -> DataFrame:
         rows = [(None, None, None, None, None, k, s.tobytes()) for k, s in enumerate(slices)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    return stage(docs.mapInArrow(run, schema), "shingles")
+    return stage(docs.mapInArrow(lean(run), schema), "shingles")
 
 
 def _sketch(summary: DataFrame) -> np.ndarray:
@@ -159,7 +159,7 @@ def _sketch(summary: DataFrame) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], names=["slice", "counters"])
 
-    rows = summary.where("slice is not null").select("slice", "counters").repartition("slice").mapInArrow(add, "slice int, counters binary")
+    rows = summary.where("slice is not null").select("slice", "counters").repartition("slice").mapInArrow(lean(add), "slice int, counters binary")
     out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
     for row in rows.toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["counters"], "<i8")
@@ -194,7 +194,7 @@ def _entries(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
             join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
             yield pa.RecordBatch.from_arrays([join(keys, np.int64), join(salts, np.int32), join(names, np.int64), join(sizes, np.int32), join(places, np.int32)], names=["key", "salt", "name", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "key long, salt int, name long, n int, pos int")
+    return docs.select("text").mapInArrow(lean(run), "key long, salt int, name long, n int, pos int")
 
 
 def _meet(batches, columns: int):
@@ -232,7 +232,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
         columns = (key, name, n, pos, pivot, salt > 0)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "name", "n", "pos", "pivot", "salted"])
 
-    return stage(entries.repartition("key", "salt").mapInArrow(gather, "key long, name long, n int, pos int, pivot long, salted boolean"), "blocks")
+    return stage(entries.repartition("key", "salt").mapInArrow(lean(gather), "key long, name long, n int, pos int, pivot long, salted boolean"), "blocks")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -249,13 +249,14 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], names=["a", "b"])
 
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "va", "nb", "vb")
-    return stage(joined.mapInArrow(keep, "a long, b long"), "pairs")
+    return stage(joined.mapInArrow(lean(keep), "a long, b long"), "pairs")
 
 
 def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """Staged (name, members): the sets of the given names, cut again from a document of each.
 
-    A bit table of fixed size tells the tasks which documents may be asked for.
+    A bit table of fixed size tells the tasks which documents may be asked for; a set may come from several tasks, and a few
+    come that nothing asks for.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     asked = names.join(classes.select("name", "doc_id"), "name")
@@ -265,18 +266,19 @@ def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, words: int) ->
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
-        cut, table = Shingler(words), np.unpackbits(sent.value).astype(bool)
+        cut, table, seen = Shingler(words), np.unpackbits(sent.value).astype(bool), set()
         for batch in batches:
-            hit, rows = table[batch.column(0).to_numpy()], []
+            rows = []
             texts = batch.column(1)
-            for k in np.flatnonzero(hit):
+            for k in np.flatnonzero(table[batch.column(0).to_numpy()]):
                 found = cut(texts[k].as_py())
-                if len(found):
-                    rows.append((set_name(found), found.tobytes()))
+                name = set_name(found)
+                if len(found) and name not in seen:
+                    seen.add(name)
+                    rows.append((name, found.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["name", "members"])
 
-    cut = docs.select(slot("doc_id").alias("slot"), "text").mapInArrow(run, "name long, members binary")
-    return stage(cut.join(names, "name", "left_semi").dropDuplicates(["name"]), "sets")
+    return stage(docs.select(slot("doc_id").alias("slot"), "text").mapInArrow(lean(run), "name long, members binary"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -288,14 +290,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
     names = stage(pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct(), "names")
     sets = _sets(docs, names, classes, words)
     hubs = stage(pairs.groupBy("b").agg((F.ceil(F.count("*") / STAR)).cast("int").alias("parts")), "hubs")
-    member = (
-        pairs.join(hubs, "b")
-        .select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-        .join(sets.withColumnRenamed("name", "a"), "a")
-        .select("b", "part", F.lit(1).alias("role"), "a", "members")
-    )
-    hub = hubs.join(sets.withColumnRenamed("name", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("a"), "members")
-    met = hub.unionAll(member).repartition("b", "part").sortWithinPartitions("b", "part", "role")
+    parts = pairs.join(hubs, "b").select(F.col("a").alias("name"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    own = hubs.select(F.col("b").alias("name"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    met = own.unionAll(parts).join(sets, "name").select("b", "part", "role", F.col("name").alias("a"), "members")
+    met = met.repartition("b", "part").sortWithinPartitions("b", "part", "role")
 
     def check(batches):
         at, own = None, np.zeros(0, np.uint64)
@@ -312,7 +310,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
                         vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return stage(met.mapInArrow(check, "u long, v long"), "links")
+    return stage(met.mapInArrow(lean(check), "u long, v long"), "links")
 
 
 def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
@@ -368,7 +366,7 @@ def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: Dat
         yield from out()
 
     old = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.mapInArrow(search, "a long, b long").distinct().join(old, ["a", "b"], "left_anti")
+    return met.mapInArrow(lean(search), "a long, b long").distinct().join(old, ["a", "b"], "left_anti")
 
 
 def _groups(batches, width: int):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, stage
+from .shared import lean, shared_folder, stage
 
 #: A record's block is cut into segments of this many bytes.
 SEGMENT = 16_384
@@ -126,7 +126,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     # the line separator of the writer is the end of a WARC record
-    records = linked.mapInArrow(render, "record binary").select(F.col("record").cast("string").alias("value"))
+    records = linked.mapInArrow(lean(render), "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -206,7 +206,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(read, _RECORD)
+    return files.select("content").mapInArrow(lean(read), _RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -236,12 +236,12 @@ def payloads(whole: DataFrame) -> DataFrame:
     The payload of a response is decoded from its transfer framing and digested; error also says where that fails or where the
     digest differs from the declared one. A revisit has no payload of its own and gives the length and digest it declares.
     """
-    return whole.mapInArrow(_decode(True), f"{_PAGE}, payload binary")
+    return whole.mapInArrow(lean(_decode(True)), f"{_PAGE}, payload binary")
 
 
 def payload_digests(whole: DataFrame) -> DataFrame:
     """As payloads, without the payloads themselves."""
-    return whole.mapInArrow(_decode(False), _PAGE)
+    return whole.mapInArrow(lean(_decode(False)), _PAGE)
 
 
 _PAGE = "page_id long, target string, record_type string, refers_to long, payload_bytes long, payload_digest string, error string"
