@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .shared import lean, stage
 
 #: Codebooks are fitted on at most this many vectors, those with the smallest hashes of their ids.
-SAMPLE = 16_384
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 4, 6
+SAMPLE = 8_192
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 6
 #: Candidates by table score that are measured exactly, of each STEP rows of the index.
-RERANK, STEP = 96, 4_096
+RERANK, STEP = 128, 4_096
 #: Queries that are searched for at once; with the vector length that bounds what is sent to the tasks.
 QUERY_BLOCK = 4_096
 _SEED = 5
