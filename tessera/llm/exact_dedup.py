@@ -199,9 +199,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows are matched by doc_id; where input rows repeat a doc_id, the kept ones are told apart by digest, and rows
     that repeat both are reduced to one.
     """
-    result = stage(exact_dedup(docs, id_col, text_col), "decisions")
+    rows = docs.count()
+    result = stage(exact_dedup(docs, id_col, text_col), "decisions", rows)
     repeated = result.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
-    dropped = stage(result.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct(), "dropped")
+    dropped = stage(result.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct(), "dropped", rows)
     if repeated.isEmpty():
         return docs.join(dropped, F.col(id_col) == F.col("_drop_id"), "left_anti")
     kept = result.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))

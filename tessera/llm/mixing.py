@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import WORD, stage
@@ -68,7 +68,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 def _plan(rows: DataFrame) -> list[tuple]:
     """A row of _FULL for each source."""
-    sizes = {r["source"]: int(r["total"]) for r in rows.groupBy("source").agg(F.sum("size").alias("total")).toLocalIterator()}
+    sizes = {r["source"]: int(r["total"]) for r in rows.groupBy("source").agg(F.sum("size").alias("total")).collect()}
     aim, plan = targets(sizes), []
     for source, total in sizes.items():
         ratio = aim[source] / total if total else 0.0
@@ -97,6 +97,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _crossing() -> Column:
+    """Of a source's bins the one in which the cumulative size reaches what is missing, with that size; the last one if none does.
+
+    A source has at most 2^DIGIT_BITS bins.
+    """
+    start = F.struct(F.lit(-1).cast("long").alias("digits"), F.lit(0).cast("long").alias("size"), F.lit(-1).cast("long").alias("last"), F.lit(True).alias("alone"), F.first("below").alias("cum"))
+
+    def step(found, bin_):
+        done = (found["cum"] >= F.first("missing")) & (found["digits"] >= 0)
+        return F.when(done, found).otherwise(F.struct(bin_["digits"].alias("digits"), bin_["size"].alias("size"), bin_["last"].alias("last"), bin_["alone"].alias("alone"), (found["cum"] + bin_["size"]).alias("cum")))
+
+    return F.aggregate(F.array_sort(F.collect_list(F.struct("digits", "size", "last", "alone"))), start, step)
+
+
 def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int, int]]:
     """(source, cut, more): ranks up to cut are taken (-1: none), and the rank more (-1: no other)."""
     spark = ranked.sparkSession
@@ -108,38 +122,29 @@ def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int, i
     for shift in range(RANK_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
         if not at:
             break
-        here = _per_source(spark, [(s, *v) for s, v in at.items()], "source string, head long, below long")
-        digits = F.shiftright("rank", shift)
+        here = _per_source(spark, [(s, *v, missing[s]) for s, v in at.items()], "source string, head long, below long, missing double")
         bins = (
             _same_source(ranked.where("p > 0").select("source", "size", "rank"), here)
             .where(F.shiftright("rank", shift + DIGIT_BITS) == F.col("head"))
-            .groupBy("source", "below", digits.alias("digits"))
-            .agg(F.sum("size").alias("size"))
+            .groupBy("source", "below", "missing", F.shiftright("rank", shift).alias("digits"))
+            .agg(F.sum("size").alias("size"), F.max("rank").alias("last"), (F.max("rank") == F.min("rank")).alias("alone"))
         )
-        running = Window.partitionBy("source").orderBy("digits")
-        cum = F.col("below") + F.sum("size").over(running)
-        left = _same_source(bins.withColumn("cum", cum), _per_source(spark, [(s, missing[s]) for s in at], "source string, missing double"))
-        edge = left.where("cum >= missing").groupBy("source").agg(F.min(F.struct("digits", "cum", "size")).alias("e"))
-        last = left.groupBy("source").agg(F.max(F.struct("digits", "cum", "size")).alias("l"))
-        found = {}
-        for r in last.join(edge.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").toLocalIterator():
-            found[r["source"]] = (r["e"], r["l"])
         after = {}
-        for source in at:
-            edge_row, last_row = found.get(source, (None, None))
-            if edge_row is None:  # rounding: all that is there is taken
-                cut[source] = (1 << RANK_BITS) if last_row is not None else cut[source]
-            elif shift:
-                after[source] = (edge_row["digits"], edge_row["cum"] - edge_row["size"])
+        for r in bins.groupBy("source", "below", "missing").agg(_crossing().alias("edge")).select("source", "edge.*").collect():
+            source, below = r["source"], r["cum"] - r["size"]
+            if r["cum"] < missing[source]:  # rounding: all that is there is taken
+                cut[source] = 1 << RANK_BITS
+            elif shift and not r["alone"]:
+                after[source] = (r["digits"], below)
             else:
-                exact = edge_row["cum"] == missing[source]
-                cut[source] = edge_row["digits"] if exact else edge_row["digits"] - 1
-                gap[source] = 0.0 if exact else missing[source] - (edge_row["cum"] - edge_row["size"])
+                exact = r["cum"] == missing[source]
+                cut[source] = r["last"] if exact else r["last"] - 1
+                gap[source] = 0.0 if exact else missing[source] - below
         at = after
     open_ = _per_source(spark, [(s, cut[s], g) for s, g in gap.items() if g > 0], "source string, cut long, gap double")
     beyond = _same_source(ranked.where("p > 0").select("source", "size", "rank"), open_).where("rank > cut and size < 2 * gap")
     nearest = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "rank")).alias("best"))
-    more = {r["source"]: r["best"]["rank"] for r in nearest.toLocalIterator()}
+    more = {r["source"]: r["best"]["rank"] for r in nearest.collect()}
     return [(s, c, more.get(s, -1)) for s, c in cut.items()]
 
 

@@ -32,6 +32,8 @@ BLOCK = 4_096
 SMALL = 24
 #: Pairs that one set verifies in one group of rows.
 STAR = 512
+#: A set weighs about as much as so many rows of numbers.
+SET_ROWS = 100
 FANOUT = 16
 WORD_CACHE = 250_000
 SLOTS = 1 << 23
@@ -161,7 +163,7 @@ def _sketch(summary: DataFrame) -> np.ndarray:
 
     rows = summary.where("slice is not null").select("slice", "counters").repartition("slice").mapInArrow(lean(add), "slice int, counters binary")
     out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         out[row["slice"]] = np.frombuffer(row["counters"], "<i8")
     return out.ravel()
 
@@ -235,7 +237,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
     return stage(entries.repartition("key", "salt").mapInArrow(lean(gather), "key long, name long, n int, pos int, pivot long, salted boolean"), "blocks")
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
     """Staged (a, b): the pairs that sizes and count vectors allow to link."""
     one = classes.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
     two = classes.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
@@ -249,7 +251,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], names=["a", "b"])
 
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "va", "nb", "vb")
-    return stage(joined.mapInArrow(lean(keep), "a long, b long"), "pairs")
+    return stage(joined.mapInArrow(lean(keep), "a long, b long"), "pairs", rows)
 
 
 def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -287,9 +289,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
     Pairs meet at their second set, the hub, in groups of about STAR; a hub's set goes to each of its groups once, and
     each member's set to its hubs.
     """
-    names = stage(pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct(), "names")
+    n = pairs.count()
+    names = stage(pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct(), "names", 2 * n)
     sets = _sets(docs, names, classes, words)
-    hubs = stage(pairs.groupBy("b").agg((F.ceil(F.count("*") / STAR)).cast("int").alias("parts")), "hubs")
+    hubs = stage(pairs.groupBy("b").agg((F.ceil(F.count("*") / STAR)).cast("int").alias("parts")), "hubs", n)
     parts = pairs.join(hubs, "b").select(F.col("a").alias("name"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     own = hubs.select(F.col("b").alias("name"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     met = own.unionAll(parts).join(sets, "name").select("b", "part", "role", F.col("name").alias("a"), "members")
@@ -310,10 +313,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
                         vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return stage(met.mapInArrow(lean(check), "u long, v long"), "links")
+    return stage(met.mapInArrow(lean(check), "u long, v long"), "links", SET_ROWS * n)
 
 
-def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: DataFrame, rows: int) -> DataFrame:
     """(a, b): what may still link sets of one block that no link connects so far.
 
     Only blocks that hold several components are looked at. The rows of a block's largest component are dealt over its
@@ -322,11 +325,11 @@ def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: Dat
     of = blocks.join(joined.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "pos", F.coalesce("component", "name").alias("component"))
     sizes = of.groupBy("key", "component").agg(F.count("*").alias("rows"))
     keys = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.count("*").alias("kinds"), F.max_by("component", "rows").alias("largest"))
-    mixed = stage(keys.where("kinds > 1").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"), "largest"), "mixed")
-    rows = of.join(mixed, "key").join(classes.select("name", "n", "vector"), "name")
+    mixed = stage(keys.where("kinds > 1").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"), "largest"), "mixed", rows)
+    found = of.join(mixed, "key").join(classes.select("name", "n", "vector"), "name")
     other = F.col("component") != F.col("largest")
     part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")))
-    dealt = rows.select("key", F.explode(part).alias("part"), "name", "component", "n", "pos", other.alias("other"), "vector")
+    dealt = found.select("key", F.explode(part).alias("part"), "name", "component", "n", "pos", other.alias("other"), "vector")
     met = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "name")
 
     def search(batches):
@@ -354,15 +357,15 @@ def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: Dat
                 seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        rows = 0
+        held = 0
         for block in _groups(batches, 7):
             if len(block[0]) > 1:
                 for a, b in found(*block[2:]):
                     seen.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
-                    rows += len(a)
-                    if rows > 500_000:
+                    held += len(a)
+                    if held > 500_000:
                         yield from out()
-                        rows = 0
+                        held = 0
         yield from out()
 
     old = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -405,22 +408,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     summary = _summary(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text"), words)
     rows = summary.where("slice is null")
     sketch = _sketch(summary)
-    classes = stage(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("vector").alias("vector")), "classes")
+    classes = stage(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("vector").alias("vector")), "classes", summary.count())
     blocks = _blocks(_entries(docs, sketch, words))
     # each set with the pivot that it shares the most blocks with
     stars = blocks.where("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("common"))
     stars = stars.groupBy("name").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("b")).select(F.col("name").alias("a"), "b")
     tops = blocks.where("salted").groupBy("key").agg(F.min(F.struct("pos", "n", "name")).alias("top")).select("key", F.col("top.name").alias("b"))
     over = blocks.where("salted").select("key", F.col("pivot").alias("a")).distinct().join(tops, "key").where("a <> b").select("a", "b")
-    first = _bounded(stars.unionAll(over).distinct(), classes)
+    n_classes, n_blocks = classes.count(), blocks.count()
+    first = _bounded(stars.unionAll(over).distinct(), classes, 2 * n_classes)
     links = _verified(first, docs, classes, words)
-    joined = components(links)
-    second = _verified(_bounded(_across(blocks, joined, classes, first), classes), docs, classes, words)
-    final = components(links.unionAll(second)) if not second.isEmpty() else joined
+    joined = components(links, links.count())
+    second = _verified(_bounded(_across(blocks, joined, classes, first, n_blocks), classes, n_blocks), docs, classes, words)
+    more = second.count()
+    final = components(links.unionAll(second), links.count() + more) if more else joined
     member = classes.select("name", "doc_id").join(final.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    member = stage(member, "members")
-    least = stage(member.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    named = stage(member.join(least, "component").select("name", "component_id"), "named")
+    member = stage(member, "members", n_classes)
+    least = stage(member.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least", n_classes)
+    named = stage(member.join(least, "component").select("name", "component_id"), "named", n_classes)
     out = rows.select("doc_id", "n", "name").join(named, "name", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -432,4 +437,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows without an id are kept; rows that repeat an id are kept or dropped together.
     """
     gone = ngram_join(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stage(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(stage(gone, "gone", docs.count()), F.col(id_col) == F.col("_gone"), "left_anti")

@@ -31,15 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of a staged table's file, where their number is known before it is written.
+ROWS_PER_FILE = 100_000
+
+
+def stage(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what follows reads the files, also after executors are lost. The folder is named
-    <spark.checkpoint.dir>/tessera/<id>/<tag>; the cluster's cleaning of that folder removes it.
+    <spark.checkpoint.dir>/tessera/<id>/<tag>; the cluster's cleaning of that folder removes it. Where it is known that there are
+    at most `rows` rows, few rows are written by few tasks, though by no fewer than there are cores.
     """
-    path = f"{shared_folder(df.sparkSession)}/{tag}"
+    spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE + 1))
+    path = f"{shared_folder(spark)}/{tag}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:

@@ -67,9 +67,34 @@ def test_queries_and_oracles(spark):
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in __spark_entry__.oracle_sql().items():
         if name.startswith("op"):
             want = con.sql(sql)
             got = names[name](spark, SF).select(*want.columns).collect()
             assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str), name
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, columns with names that the operators use."""
+    rows = [
+        (None, None, None, None, None, 1, 2),
+        (None, None, None, None, None, 1, 2),
+        (1, "one two three four five six", "en", "a", 5, 1, 2),
+        (1, "one two three four five six", "en", "a", 5, 1, 2),
+        (1, "another text under the same id", "en", "a", 5, None, None),
+        (2, "", "en", None, 0, 1, 2),
+        (3, " \n\t", None, "b", 0, 1, 2),
+        (4, "one  two three four five six", "de", "b", 5, 1, 2),
+        (5, "word " * 50_000, "xx", "c", 5, 1, 2),
+        (6, "one two three four five six seven", "en", "c", 5, 1, 2),
+        (None, "a text without an id", "en", "c", 5, 1, 2),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, name int").repartition(3)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(step(spark, docs, SF).collect(), docs.schema)
+        assert docs.columns[-2:] == ["size", "name"], name
+    texts = [" ".join((r["text"] or "").split()) for r in docs.collect()]
+    assert texts.count("one two three four five six") <= 3 and "word" in texts[[len(t) for t in texts].index(max(map(len, texts)))]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
