@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import shared_folder
+
 MAX_ROUNDS = 64
 
 
@@ -14,6 +16,7 @@ def closure(roots: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -> Dat
     The frontier grows round by round: each joins the edges once and drops what was seen before. Rounds are checkpointed in the shared folder
     (spark.checkpoint.dir), so the plan stays short and a lost executor costs one round.
     """
+    shared_folder(roots.sparkSession)  # sets a folder where the session names none
     seen = roots.select("node").distinct().checkpoint()
     frontier = seen
     for _ in range(rounds):
