@@ -230,7 +230,12 @@ def _blocks(entries: DataFrame) -> DataFrame:
         starts = np.flatnonzero(new)
         counts = np.diff(np.r_[starts, len(key)])
         pivot = np.repeat(name[starts], counts)
-        keep = np.repeat(counts > 1, counts) | (salt > 0)
+        alive = counts > 1
+        two = starts[counts == 2]  # most blocks by far: chance meetings, which sizes and places mostly rule out
+        a, b = n[two].astype(np.int64), n[two + 1].astype(np.int64)
+        left = np.minimum(reach(a, pos[two]), reach(b, pos[two + 1]))
+        alive[counts == 2] = (left >= needed(a, b)) & (HUNDRED * np.minimum(a, b) >= SIMILAR * np.maximum(a, b))
+        keep = np.repeat(alive, counts) | (salt > 0)
         columns = (key, name, n, pos, pivot, salt > 0)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "name", "n", "pos", "pivot", "salted"])
 
