@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_staged, lean, stage
+from .shared import TEXTS, lean, stage
 
 WORDS = 5
 #: Two sets link when HUNDRED * intersection >= SIMILAR * union.
@@ -147,7 +147,7 @@ def _summary(docs: DataFrame, words: int) -> DataFrame:
         rows = [(None, None, None, None, None, k, s.tobytes()) for k, s in enumerate(slices)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    return stage(docs.mapInArrow(lean(run), schema), "shingles")
+    return stage(docs.mapInArrow(lean(run, TEXTS), schema), "shingles")
 
 
 def _sketch(summary: DataFrame) -> np.ndarray:
@@ -196,7 +196,7 @@ def _entries(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
             join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
             yield pa.RecordBatch.from_arrays([join(keys, np.int64), join(salts, np.int32), join(names, np.int64), join(sizes, np.int32), join(places, np.int32)], names=["key", "salt", "name", "n", "pos"])
 
-    return docs.select("text").mapInArrow(lean(run), "key long, salt int, name long, n int, pos int")
+    return docs.select("text").mapInArrow(lean(run, TEXTS), "key long, salt int, name long, n int, pos int")
 
 
 def _meet(batches, columns: int):
@@ -285,7 +285,7 @@ def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, words: int) ->
                     rows.append((name, found.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["name", "members"])
 
-    return stage(docs.select(slot("doc_id").alias("slot"), "text").mapInArrow(lean(run), "name long, members binary"), "sets")
+    return stage(docs.select(slot("doc_id").alias("slot"), "text").mapInArrow(lean(run, TEXTS), "name long, members binary"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:

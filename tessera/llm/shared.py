@@ -64,15 +64,21 @@ def collapsed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def lean(function):
+#: Rows of text that a task unpacks at once.
+TEXTS = 1_000
+
+
+def lean(function, rows: int | None = None):
     """A function for mapInArrow that gives its worker's free memory back to the machine when a task ends.
 
     Workers live on between tasks, so that what one stage has needed would otherwise stay beside what the next one needs.
+    With rows, the function gets its batches in slices of so many rows.
     """
 
     def run(batches):
+        parts = batches if rows is None else (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
         try:
-            yield from function(batches)
+            yield from function(parts)
         finally:
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, SHORT, Merges, byte_symbols
-from .shared import lean
+from .shared import TEXTS, lean
 
 #: How a byte-level vocabulary file splits text into pieces (fixed values of that format).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,4 +173,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
+    return rows.mapInArrow(lean(run, TEXTS), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
