@@ -232,12 +232,22 @@ def shard_buckets(spark, sf):
 @query(f"""WITH {fx.LAYERS}, h AS (SELECT key, ('0x' || sha256(key)[1:8])::BIGINT & 3 = 0 AS b, row_number() OVER w AS n FROM base WHERE key < 'c2' WINDOW w AS (ORDER BY key))
     SELECT key, CAST(coalesce(sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY split_part(key, '/', 1) ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_id FROM h""")
 def boundary_groups_min1(spark, sf):
-    """Groups that end at each boundary key, within each directory."""
+    """The groups of the keys below 'c2' only, as its SQL has them; boundary_groups_min1_all has those of all keys."""
+    return _min1_groups(fx.base(spark, sf).where("key < 'c2'"))
+
+
+@query(f"""WITH {fx.LAYERS}, h AS (SELECT key, ('0x' || sha256(key)[1:8])::BIGINT & 3 = 0 AS b FROM base)
+    SELECT key, CAST(coalesce(sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY split_part(key, '/', 1) ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_id FROM h""")
+def boundary_groups_min1_all(spark, sf):
+    """Groups that end at each boundary key, within each directory, for every key of base."""
+    return _min1_groups(fx.base(spark, sf))
+
+
+def _min1_groups(rows):
     from pyspark.sql import Window
 
     flag = F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(3)) == 0
     order = Window.partitionBy(F.split_part("key", F.lit("/"), F.lit(1))).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = fx.base(spark, sf).where("key < 'c2'")
     return rows.select("key", F.coalesce(F.sum(F.when(flag, 1).otherwise(0)).over(order), F.lit(0)).cast("long").alias("group_id"))
 
 
