@@ -184,6 +184,15 @@ def pack_locate_tristate(spark, sf):
     return packing.locate(fx.files(spark, sf).where("doc_id % 3 = 0").select("key"), index, unread=1)
 
 
+@query(f"""WITH {fx.MEMBERS}, ix AS (SELECT * FROM laid WHERE pack <> 'en-src1'), asked AS (SELECT key FROM files UNION ALL SELECT 'absent/' || key FROM files WHERE doc_id % 100 = 0)
+    SELECT a.key, i.pack, i."offset", CASE WHEN i.key IS NOT NULL THEN 'hit' ELSE 'unknown' END AS outcome FROM asked a LEFT JOIN ix i USING (key)""")
+def pack_locate_all(spark, sf):
+    """Every document located, and some absent keys; pack_locate_tristate asks for every third document."""
+    f = fx.files(spark, sf)
+    absent = f.where("doc_id % 100 = 0").select(F.concat(F.lit("absent/"), "key").alias("key"))
+    return packing.locate(f.select("key").unionAll(absent), packing.layout(fx.members(spark, sf)).where("pack <> 'en-src1'"), unread=1)
+
+
 @query(f"""WITH {fx.MEMBERS}, s AS (SELECT pack, CAST(sum(length) AS BIGINT) AS size FROM members GROUP BY pack), a AS (SELECT *, CAST(ceil(size / 65536.0) * 65536 AS BIGINT) AS allocated FROM s)
     SELECT pack, size, allocated, round((allocated - size) / allocated, 9) AS waste FROM a""")
 def pack_waste(spark, sf):

@@ -100,6 +100,15 @@ def layered_point_get(spark, sf):
     return layers.get_live(_three(spark, sf), fx.base(spark, sf).where("o_orderkey % 4 = 1").select("key"))
 
 
+@query(f"""WITH {fx.LAYERS}, {_THREE}, asked AS (SELECT key FROM base UNION SELECT key FROM changes UNION SELECT 'absent/' || key FROM base WHERE o_orderkey % 100 = 0)
+    SELECT key, hash, size, priority FROM won WHERE NOT is_tombstone AND key IN (SELECT key FROM asked)""")
+def layered_point_get_all(spark, sf):
+    """Every key of the layers asked for, and some absent ones; layered_point_get asks for every fourth order."""
+    b = fx.base(spark, sf)
+    absent = b.where("o_orderkey % 100 = 0").select(F.concat(F.lit("absent/"), "key").alias("key"))
+    return layers.get_live(_three(spark, sf), b.select("key").union(fx.changes(spark, sf).select("key")).union(absent).distinct())
+
+
 @query(f"""WITH {fx.LAYERS}, pub AS (SELECT key, hash, size FROM base WHERE o_orderkey % 3 <> 0), loc AS (SELECT key, sha256('l' || hash) AS hash, size FROM base WHERE o_orderkey % 2 = 0)
     SELECT key, CASE WHEN l.key IS NOT NULL THEN l.hash ELSE p.hash END AS hash, coalesce(l.size, p.size) AS size, CASE WHEN l.key IS NOT NULL THEN 'local' ELSE 'published' END AS side FROM loc l FULL JOIN pub p USING (key)""")
 def convergence_union(spark, sf):

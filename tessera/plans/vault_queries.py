@@ -85,6 +85,16 @@ def blinded_lookup(spark, sf):
     return vault.blinded_match(asked, f.select("hash").distinct(), "salt")
 
 
+@query(f"""WITH {fx.FILES}, asked AS (SELECT DISTINCT sha256('salt' || hash) AS blinded FROM files UNION SELECT sha256('other' || hash) FROM files WHERE doc_id % 100 = 0)
+    SELECT DISTINCT blinded, hash FROM asked JOIN files ON blinded = sha256('salt' || hash)""")
+def blinded_lookup_all(spark, sf):
+    """Every blinded hash looked up, and some under another salt that match none; blinded_lookup asks for every ninth document."""
+    f = fx.files(spark, sf)
+    blind = lambda salt: F.sha2(F.concat(F.lit(salt), "hash"), 256).alias("blinded")
+    asked = f.select(blind("salt")).union(f.where("doc_id % 100 = 0").select(blind("other"))).distinct()
+    return vault.blinded_match(asked, f.select("hash").distinct(), "salt")
+
+
 @query(f"""WITH {fx.MEMBERS}, g AS (SELECT pack, CAST(sum(length) AS BIGINT) AS size, min(doc_id) AS oldest FROM members JOIN files USING (key) GROUP BY pack)
     SELECT *, CASE WHEN size >= 30000 THEN 'full' ELSE 'stale' END AS reason FROM g WHERE size >= 30000 OR 1000 - oldest >= 950""")
 def pack_ready(spark, sf):
@@ -195,6 +205,14 @@ def floor_seek(spark, sf):
     return layers.affected_leaves(b.where("o_orderkey % 41 = 0").select(F.col("key").alias("first_key"), F.col("o_orderkey").alias("leaf_id")), b.where("o_orderkey % 17 = 3"))
 
 
+@query(f"""WITH {fx.LAYERS}, marks AS (SELECT key AS first_key, o_orderkey AS leaf_id FROM base WHERE o_orderkey % 41 = 0)
+    SELECT leaf_id, count(*) AS changes FROM base ASOF JOIN marks ON base.key >= marks.first_key GROUP BY leaf_id""")
+def floor_seek_all(spark, sf):
+    """Every key of base sought; floor_seek seeks one order in seventeen."""
+    b = fx.base(spark, sf)
+    return layers.affected_leaves(b.where("o_orderkey % 41 = 0").select(F.col("key").alias("first_key"), F.col("o_orderkey").alias("leaf_id")), b)
+
+
 @query(f"""WITH RECURSIVE {fx.SNAPSHOTS}, c AS (SELECT vault, ts, hash, lag(hash) OVER (PARTITION BY vault ORDER BY ts) AS parent FROM snapshots), edges AS (SELECT vault || ts AS parent, vault || lead(ts) OVER (PARTITION BY vault ORDER BY ts) AS child FROM snapshots),
     r AS (SELECT 'v1' || min(ts) AS node FROM snapshots WHERE vault = 'v1' UNION SELECT child FROM r JOIN edges ON parent = node WHERE child IS NOT NULL) SELECT node FROM r""")
 def version_walk(spark, sf):
