@@ -404,7 +404,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal sets are one class and never expanded into pairs. Each class is first compared with the smallest of each block that its
     rarest shingles put it in; then only what lies in different components of one block is searched for by R-trees.
-    Every pair that survives the bounds is verified on the whole sets, so no link between different sets is lost.
+    Every pair looked at that survives the bounds is verified on the whole sets. Pairs inside a component that links already span are not
+    looked at, so components are complete, but links are neither all found nor counted.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows are copies of one another; null ids take part and are
     passed over for component_id, which is null only if all of a component's ids are. An empty table gives an empty result. Other columns are ignored.
