@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.staging import shared_folder
 
-MAX_ROUNDS = 64
-
 
-def closure(roots: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Distinct nodes that the roots reach over edges (parent, child), the roots included.
 
     The frontier grows round by round: each joins the edges once and drops what was seen before. Rounds are checkpointed in the shared folder
-    (spark.checkpoint.dir), so the plan stays short and a lost executor costs one round.
+    (spark.checkpoint.dir), so the plan stays short and a lost executor costs one round. They end when the frontier is empty; a graph deeper
+    than `rounds`, if given, is an error.
     """
     shared_folder(roots.sparkSession)  # sets a folder where the session names none
     seen = roots.select("node").distinct().checkpoint()
     frontier = seen
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         step = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         frontier = step.join(seen, "node", "left_anti").checkpoint()
         if frontier.isEmpty():
