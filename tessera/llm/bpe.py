@@ -6,7 +6,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 import regex
@@ -17,8 +17,8 @@ from .shared import TEXTS, lean
 
 #: Words of more symbols than this go through a heap instead of repeated scans; the result is the same.
 SHORT = 256
-#: Words that a worker remembers before it begins anew; that bounds its memory.
-CACHE = 250_000
+#: Bytes of remembered words and ids, about, at which a task begins anew; that bounds its memory.
+CACHE_BYTES = 24 << 20
 NO_RANK = 1 << 60
 
 
@@ -98,11 +98,17 @@ class WordBpe:
         self.pattern = regex.compile(pre["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
-        self.tokens = {i: t for t, i in [*self.merges.ids.items(), *self.added.items()]}
+        tokens = {i: t for t, i in [*self.merges.ids.items(), *self.added.items()]}
         symbols = byte_symbols()
         self.symbol = [self.merges.ids[s] for s in symbols]
         self.ending = [self.merges.ids[s + self.merges.suffix] for s in symbols]
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        #: the tokens and the decimal forms by id
+        self.names = [""] * (max(tokens) + 1)
+        for i, token in tokens.items():
+            self.names[i] = token
+        self.decimals = [str(i) for i in range(len(self.names))]
+        self.cache: dict[str, list[int]] = {}
+        self.held = 0
 
     @staticmethod
     def normal(text: str) -> str:
@@ -114,48 +120,43 @@ class WordBpe:
         data = word.encode("utf-8")
         return self.merges.parts([*(self.symbol[b] for b in data[:-1]), self.ending[data[-1]]])
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
+    def _word(self, word: str) -> list[int]:
         ids = self.word_ids(word)
-        found = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
         if len(word) <= SHORT:
-            self.cache[word] = found
-        return found
+            if self.held >= CACHE_BYTES:
+                self.cache.clear()
+                self.held = 0
+            self.cache[word] = ids
+            self.held += 250 + 4 * len(word) + 8 * len(ids)
+        return ids
 
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """For each word or special token: number of ids, the ids and the tokens, joined by spaces."""
-        get = self.cache.get
+    def encode(self, text: str | None) -> list[int]:
+        text, out = text or "", []
+        get, own = self.cache.get, self._word
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
             if k % 2:
-                yield 1, str(self.added[part]), part
+                out.append(self.added[part])
             else:
                 for word in self.pattern.findall(self.normal(part)):
-                    yield get(word) or self._word(word)
-
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text or "") for i in ids.split(" ")]
+                    out += get(word) or own(word)
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one space, as the library does for a file without a decoder; special tokens stay."""
-        return " ".join(self.tokens[i] for i in ids)
-
-
-_ENCODERS: dict[str, WordBpe] = {}
-
+        names = self.names
+        return " ".join([names[i] for i in ids])
 
-def encoder(path: str) -> WordBpe:
-    """One encoder for each file and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordBpe(path)
-    return _ENCODERS[path]
+    def written(self, ids: Iterable[int]) -> str:
+        """The decimal ids joined by one space."""
+        decimals = self.decimals
+        return " ".join([decimals[i] for i in ids])
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each whole text; null text has none."""
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = WordBpe(path)  # lives as long as the task
         for batch in batches:
             ids = pa.array([bpe.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
@@ -167,7 +168,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text): the decoded text of each array of ids."""
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = WordBpe(path)  # lives as long as the task
         for batch in batches:
             text = pa.array([bpe.decode(i or ()) for i in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["doc_id", "text"])
@@ -178,20 +179,20 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each input row, without a shuffle.
 
-    Each text is encoded whole and decoded again; digests are taken in the task, so ids need not be written.
+    Each text is encoded whole, and its ids are decoded again; digests are taken in the task, so ids need not be written.
     Null and empty texts have no tokens. Repeated rows and null ids are kept as they are. Words of any length
     are taken whole. Other columns are ignored.
     """
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = WordBpe(path)  # lives as long as the task
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
-                found = list(bpe.pieces(text)) if text else []
-                counts.append(sum(x[0] for x in found))
-                ids_sha.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+                ids = bpe.encode(text)
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(bpe.written(ids).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

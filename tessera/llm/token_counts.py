@@ -3,41 +3,46 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, SHORT, Merges, byte_symbols
+from .bpe import CACHE_BYTES, SHORT, Merges, byte_symbols
 from .shared import TEXTS, lean
 
 #: How a byte-level vocabulary file splits text into pieces (fixed values of that format).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Contractions of that pattern that a cut can shorten to what is none.
+_CUT_CONTRACTIONS = ("'re", "'ve", "'ll")
+#: White space that is split otherwise when the text ends behind it.
+_WIDE = regex.compile(r"\s{2,}(?=\S)")
 LIMIT = 512
-#: Pairs of tokens that a worker remembers before it begins anew.
-PAIRS = 2_000_000
+BUDGETS = (128, 512, 2048)
+#: Pairs of tokens that a task remembers before it begins anew.
+PAIRS = 200_000
 
 
 class _Known(dict):
-    """Token counts of whole pieces; a missing one is computed."""
+    """Steps of whole pieces (see PrefixCounter.steps); those of a missing one are computed."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
-        self._count = counter.prefixes
+        self._steps, self._held = counter.steps, 0
 
-    def __missing__(self, piece: str) -> int:
-        found = self._count(piece.encode("utf-8"))[-1]
+    def __missing__(self, piece: str) -> bytes:
+        found = self._steps(piece)
         if len(piece) <= SHORT:
+            if self._held >= CACHE_BYTES:
+                self.clear()
+                self._held = 0
             self[piece] = found
+            self._held += 200 + 5 * len(piece)
         return found
 
-    def trim(self) -> None:
-        """Forget the older half when there are too many."""
-        if len(self) > 2 * CACHE:
-            for piece in [p for p, _ in zip(self, range(CACHE), strict=False)]:
-                del self[piece]
-
 
 class PrefixCounter:
     """Token counts of all prefixes of a piece.
@@ -104,73 +109,134 @@ class PrefixCounter:
                     last[end], counts[end] = t, count
         return counts
 
-    def counts_of(self, text: str) -> tuple[list[str], list[int]]:
-        """The pieces of a text in order and the tokens of each; a special token is one piece."""
-        pieces, counts, get = [], [], self.known.__getitem__
+    def steps(self, piece: str) -> bytes:
+        """By how much the count changes at each character of a piece, a signed byte each."""
+        if piece in _CUT_CONTRACTIONS:  # cut before its end it is no contraction but a mark and a letter
+            counts = [0, 1, 2, self.prefixes(piece.encode("utf-8"))[-1]]
+        else:
+            data = piece.encode("utf-8")
+            counts = self.prefixes(data)
+            if len(data) > len(piece):
+                counts = [c for i, c in enumerate(counts) if i == len(data) or data[i] & 0xC0 != 0x80]
+        return _narrow(np.diff(np.array(counts, np.int32)), piece)
+
+    def _parts(self, text: str) -> list[tuple[int, int, bool, list[str]]]:
+        """(start, end, whether it is a special token, pieces) of each part of a text between special tokens, and of each of those."""
+        found, at = [], 0
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
-            found = [part] if k % 2 else self.piece.findall(part)
-            pieces += found
-            counts += [1] if k % 2 else map(get, found)
-        self.known.trim()
-        return pieces, counts
+            found.append((at, at + len(part), bool(k % 2), [] if k % 2 else self.piece.findall(part)))
+            at += len(part)
+        return found
 
-    def count(self, text: str | None) -> int:
-        return sum(self.counts_of(text or "")[1])
+    def index(self, text: str | None) -> bytes:
+        """The prefix index of a text: by how much its token count changes at each character, a signed byte each.
 
-    def within(self, pieces: list[str], counts: list[int], budget: int) -> int:
-        """Bytes of the longest prefix, cut between characters, that has at most `budget` tokens within the text's own pieces."""
-        tokens = size = 0
-        for piece, n in zip(pieces, counts, strict=True):
-            data = piece.encode("utf-8")
-            if tokens + n > budget:
-                if piece in self.added:
-                    return size
-                return size + max(i for i, c in enumerate(self.prefixes(data)) if tokens + c <= budget and (i == len(data) or data[i] & 0xC0 != 0x80))
-            tokens, size = tokens + n, size + len(data)
-        return size
-
-    def prefix_counts(self, text: str) -> list[int]:
-        """Token count at every byte of the text: whole pieces before it, plus the prefix of the piece that it cuts.
-
-        Cut between pieces, that is the count of the prefix encoded alone; inside a piece it is so too, except where the
-        pattern would split the cut piece otherwise (a run of white space before a word, a cut contraction).
+        The running sum is the count of every prefix, encoded alone. Pieces that a cut leaves whole or shortens give it by themselves. Where the
+        pattern splits a cut text otherwise, the count is put right: behind white space of two or more characters, which is one piece
+        at the end of a text, and inside special tokens, which are plain text as long as they are cut.
         """
-        out = [0]
-        for piece, n in zip(*self.counts_of(text), strict=True):
-            base, data = out[-1], piece.encode("utf-8")
-            out += [base + n] * len(data) if piece in self.added else [base + c for c in self.prefixes(data)[1:]]
-        return out
+        if not text:
+            return b""
+        known, out, wide, cut = self.known, [], [], []
+        parts = self._parts(text)
+        for start, end, special, pieces in parts:
+            if special:
+                out.append(b"\x01" + bytes(end - start - 1))
+                cut.append((start, end, last))
+            else:
+                out += [known[p] for p in pieces]
+                wide += [m.span() for m in _WIDE.finditer(text, start, end)]
+                last = len(pieces[-1]) if pieces else 0
+        found = b"".join(out)
+        if not wide and not cut:
+            return found
+        counts = prefix_counts(found)
+        right = counts.copy()
+        for start, end in wide:
+            right[end] = counts[start] + self._total([text[start:end]])
+        for start, end, last in cut:
+            begin = start - last  # the piece before may go on
+            for k in range(start + 1, end):
+                right[k] = counts[begin] + self._total(self.piece.findall(text[begin:k]))
+        return _narrow(np.diff(right), text)
+
+    def _total(self, pieces: list[str]) -> int:
+        return sum(int(np.frombuffer(self.known[p], np.int8).sum()) for p in pieces)
+
+    def count(self, text: str | None) -> int:
+        return int(prefix_counts(self.index(text))[-1])
+
+
+def _narrow(steps: np.ndarray, text: str) -> bytes:
+    if len(steps) and (steps.max() > 127 or steps.min() < -127):
+        raise OverflowError(f"the count changes by more than 127 at one character of {text[:40]!r}")
+    return steps.astype(np.int8).tobytes()
+
+
+def prefix_counts(index: bytes) -> np.ndarray:
+    """Token count of every prefix, by number of characters from 0 on."""
+    out = np.zeros(len(index) + 1, np.int32)
+    np.cumsum(np.frombuffer(index, np.int8), dtype=np.int32, out=out[1:])
+    return out
+
 
+def longest_within(counts: np.ndarray, budgets: Iterable[int]) -> list[int]:
+    """For each budget, the characters of the longest prefix that has at most so many tokens: a look-up, nothing is encoded."""
+    out = []
+    for budget in budgets:
+        fits = counts <= budget
+        out.append(len(counts) - 1 - int(np.argmax(fits[::-1])) if fits.any() else 0)
+    return out
 
-_COUNTERS: dict[str, PrefixCounter] = {}
 
+_INDEX = "doc_id long, n_bytes long, n_chars long, n_tokens long, index binary"
 
-def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
 
+def prefix_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_chars, n_tokens, index), one row for each input row, without a shuffle.
+
+    index holds a signed byte for each character, whose running sum is the exact token count of every prefix. Null counts as
+    empty: no bytes and no tokens. Repeated rows and null ids are kept. Texts are counted whole. Other columns are ignored.
+    """
+
+    def run(batches):
+        dp = PrefixCounter(path)  # lives as long as the task
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = [dp.index(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0),
+                pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([int(prefix_counts(x)[-1]) for x in found], pa.int64()),
+                pa.array(found, pa.binary()),
+            ], names=["doc_id", "n_bytes", "n_chars", "n_tokens", "index"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lean(run, TEXTS), _INDEX)
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, limit_bytes), one row for each input row, without a shuffle.
 
-    limit_bytes is the length of the longest prefix with at most `limit` tokens. Null counts as empty: no bytes and no
-    tokens. Repeated rows and null ids are kept. Texts are counted whole, whatever their length. Other columns are ignored.
+def answers(indexed: DataFrame, budgets: tuple[int, ...] = BUDGETS) -> DataFrame:
+    """(doc_id, n_bytes, n_chars, n_tokens, fits): fits[k] is the number of characters of the longest prefix within budgets[k].
+
+    Only the stored counts are read. A budget that no prefix but the empty one meets gives 0.
     """
 
     def run(batches):
-        dp = counter(path)
         for batch in batches:
-            sizes, counts, cuts = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces, each = dp.counts_of(text) if text else ([], [])
-                counts.append(sum(each))
-                sizes.append(len(text.encode("utf-8")) if text else 0)
-                cuts.append(dp.within(pieces, each, limit) if counts[-1] > limit else sizes[-1])
-            n = pa.array(counts, pa.int64())
-            over = pa.array([c > limit for c in counts], pa.bool_())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), n, over, pa.array(cuts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(run, TEXTS), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
+            fits = [longest_within(prefix_counts(x or b""), budgets) for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fits, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_chars", "n_tokens", "fits"])
+
+    rows = indexed.select("doc_id", "n_bytes", "n_chars", "n_tokens", "index")
+    return rows.mapInArrow(lean(run, TEXTS), "doc_id long, n_bytes long, n_chars long, n_tokens long, fits array<long>")
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, budgets: tuple[int, ...] = BUDGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, fits), one row for each input row: the answers of each text's prefix index.
+
+    fits[k] is the number of characters of the longest prefix with at most budgets[k] tokens. Null counts as empty: no bytes and no
+    tokens. Repeated rows and null ids are kept. Texts are counted whole, whatever their length. Other columns are ignored. The index goes
+    from task to task as an Arrow batch and is not written.
+    """
+    found = answers(prefix_index(docs, path, id_col, text_col), budgets)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fits")

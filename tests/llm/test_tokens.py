@@ -38,8 +38,8 @@ def test_counts_equal_the_library(texts):
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.characters(exclude_categories=("Cn", "Cs")), max_size=60))
 def test_any_text(text):
-    assert token_counts.counter(BYTE).count(text) == len(_byte().encode(text, add_special_tokens=False).ids)
-    assert bpe.encoder(WORD).encode(text) == _word().encode(text, add_special_tokens=False).ids
+    assert _dp().count(text) == len(_byte().encode(text, add_special_tokens=False).ids)
+    assert _ours().encode(text) == _word().encode(text, add_special_tokens=False).ids
 
 
 @functools.cache
@@ -47,6 +47,16 @@ def _byte():
     return Tokenizer.from_file(BYTE)
 
 
+@functools.cache
+def _dp():
+    return token_counts.PrefixCounter(BYTE)
+
+
+@functools.cache
+def _ours():
+    return bpe.WordBpe(WORD)
+
+
 @functools.cache
 def _word():
     return Tokenizer.from_file(WORD)
@@ -59,15 +69,30 @@ def test_every_prefix_is_exact():
             assert c == len(theirs.encode(text[:i], add_special_tokens=False).ids)
 
 
-def test_budget_cut():
-    ours = token_counts.PrefixCounter(BYTE)
-    text = "Some words that are countedéé in préfixes. " * 5
-    pieces = ours.counts_of(text)
-    for budget in range(0, 60, 7):
-        cut = ours.within(*pieces, budget)
-        counts = ours.prefix_counts(text)
-        assert counts[cut] <= budget
-        assert cut == len(text.encode()) or min(counts[cut + 2 :], default=99) > budget or counts[cut + 1] > budget
+def _every_prefix(text):
+    counts = token_counts.prefix_counts(_dp().index(text))
+    assert len(counts) == len(text) + 1
+    for k, c in enumerate(counts.tolist()):
+        assert c == len(_byte().encode(text[:k], add_special_tokens=False).ids), (text[:k], k)
+
+
+@pytest.mark.parametrize("text", [t for t in ODD if len(t) < 100] + ["a  b\n\n c   <|endoftext|>d", "!<|endoftext|>\t\t<|endoftext|>", "we're 'rest they've'll ''ll", "x <| y <|endoftext| z"])
+def test_index_is_exact_at_every_prefix(text):
+    _every_prefix(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "'re", "'l", "'", "a", "the", "é", "日本", "1", "!?", "<|endoftext|>", "<|", "\u3000", "--------"]), max_size=14).map("".join))
+def test_index_is_exact_at_every_prefix_of_odd_texts(text):
+    _every_prefix(text)
+
+
+def test_budgets_are_looked_up():
+    text = "Some words that are countedéé in préfixes.  \n And more. " * 5
+    counts = token_counts.prefix_counts(_dp().index(text))
+    each = [len(_byte().encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    budgets = tuple(range(0, 90, 7))
+    assert token_counts.longest_within(counts, budgets) == [max(k for k, c in enumerate(each) if c <= b) for b in budgets]
 
 
 def test_scan_and_heap_agree():
@@ -83,6 +108,9 @@ def test_queries(spark):
     found = sorted(token_counts.token_counts(docs, BYTE).collect(), key=str)
     assert len(found) == 5
     by = {r["doc_id"]: r for r in found}
+    stored = token_counts.prefix_index(docs, BYTE)
+    assert {r["doc_id"]: r["fits"] for r in token_counts.answers(stored, (3, 0, 5000)).collect()}[4] == [14, 0, 10_000]
+    assert by[4]["fits"] == [128 * 5 - 1, 512 * 5 - 1, 10_000] and by[2]["fits"] == [0, 0, 0]
     assert by[2]["n_tokens"] == 0 and not by[2]["over_limit"] and by[4]["over_limit"] and by[4]["n_bytes"] == 10_000
     out = {r["doc_id"]: r for r in bpe.digest_documents(docs, WORD).collect()}
     ids = _word().encode("Hello world", add_special_tokens=False).ids
