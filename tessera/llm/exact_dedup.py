@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import collapsed, lean, stage
+from .shared import collapsed, fresh, lean, stage
 
 SLOTS = 4
 MAX_KICKS = 200
-#: A map task hands its index on and begins another at this many digests; that bounds its memory.
+#: At this many digests a map task hands on those that it has met once and deletes them from its index; that bounds its memory.
 FLUSH = 200_000
+#: Digests of one shard, about; their number gives that of the shards.
+SHARD = 250_000
 
 
 class CuckooIndex:
@@ -122,16 +124,16 @@ def _before(a: tuple, b: tuple) -> bool:
     return ((a[0] is None), a[0] or 0, a[1]) < ((b[0] is None), b[0] or 0, b[1])
 
 
-def _out(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
-    rows = [(d, *v) for d, v in index.entries()]
+def _out(rows: list[tuple], schema: pa.Schema = _PARTIAL) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), 50_000):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows[at : at + 50_000], strict=True), _PARTIAL.types, strict=True)], schema=_PARTIAL
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 50_000], strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _fold(flush: int | None):
-    """Fold partial rows into one row a digest; with flush, memory is bounded and a digest may come out again."""
+    """Fold partial rows into one row a digest; with flush, memory is bounded and a digest may come out again.
+
+    A full index hands on and deletes what has been met once, so that frequent digests stay live; if those fill half of it, they go too.
+    """
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
@@ -145,13 +147,21 @@ def _fold(flush: int | None):
                     first = (doc, uid) if _before((doc, uid), was[:2]) else was[:2]
                     entry[1] = (*first, was[2] + n)
             if flush and len(index) >= flush:
-                yield from _out(index)
-                index = CuckooIndex()
-        yield from _out(index)
+                gone = [(d, *v) for d, v in index.entries() if v[2] == 1]
+                if 2 * len(gone) < flush:
+                    gone = [(d, *v) for d, v in index.entries()]
+                for row in gone:
+                    index.delete(row[0])
+                yield from _out(gone)
+        yield from _out([(d, *v) for d, v in index.entries()])
 
     return fold
 
 
+def _shards(rows: int) -> int:
+    return rows // SHARD + 1
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged (doc_id, uid, digest): SHA-256 of each text with its white space collapsed."""
     return stage(
@@ -168,11 +178,42 @@ def index(found: DataFrame) -> DataFrame:
     """Staged (digest, keep_id, keep_uid, n), one row for each distinct digest.
 
     Each map task folds its rows through its own index, so that a digest with a third of all rows leaves a task
-    at most once per FLUSH digests; the partial rows then meet in the shard of their digest.
+    about once; the partial rows then meet in the shard of their digest, of which there are as many as rows need.
     """
     rows = found.select("digest", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("n"))
     schema = "digest binary, keep_id long, keep_uid long, n long"
-    return stage(rows.mapInArrow(lean(_fold(FLUSH)), schema).repartition("digest").mapInArrow(lean(_fold(None)), schema), "index")
+    parts = max(_shards(found.count()), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stage(rows.mapInArrow(lean(_fold(FLUSH)), schema).repartition(parts, "digest").mapInArrow(lean(_fold(None)), schema), "index")
+
+
+_LIVE = pa.schema([("digest", pa.binary()), ("n", pa.int64())])
+
+
+def update(live: DataFrame, changes: DataFrame) -> DataFrame:
+    """Staged (digest, n): the live digests after the changes, with the number of their rows.
+
+    live: (digest, n), each digest once, n above 0. changes: (digest, change), any number of rows a digest: how many rows of it come (above 0) or go.
+    Changes of a digest are summed before they meet the index, in their task and then in their shard. A digest whose rows have all gone is deleted; rows that go without
+    having been there are passed over, as are null digests and changes. Other columns are ignored.
+    """
+    changes = changes.where("digest is not null").groupBy("digest").agg(F.sum("change").cast("long").alias("n")).where("n <> 0")
+    both = live.select("digest", F.col("n").cast("long").alias("n"), F.lit(0).alias("later")).unionAll(changes.select("digest", "n", F.lit(1).alias("later")))
+
+    def run(batches):
+        index = CuckooIndex()
+        for batch in batches:
+            for digest, n, later in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                entry = index.find(digest)
+                if not later or (entry is None and n > 0):
+                    index.insert(digest, n)
+                elif entry is not None and entry[1] + n > 0:
+                    entry[1] += n
+                elif entry is not None:
+                    index.delete(digest)
+        yield from _out([(d, n) for d, n in index.entries()], _LIVE)
+
+    rows = both.repartition(max(_shards(both.count()), int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "digest").sortWithinPartitions("later")
+    return stage(rows.mapInArrow(lean(run), "digest binary, n long"), "live")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,10 +243,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.count()
     result = stage(exact_dedup(docs, id_col, text_col), "decisions", rows)
     repeated = result.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
-    dropped = stage(result.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct(), "dropped", rows)
+    other, sha, other_sha = (fresh(docs, x) for x in ("drop_id", "sha", "keep_sha"))
     if repeated.isEmpty():
-        return docs.join(dropped, F.col(id_col) == F.col("_drop_id"), "left_anti")
-    kept = result.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(collapsed(F.col(text_col)).cast("binary"), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    return docs.withColumn("_sha", sha).join(kept, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+        dropped = stage(result.where(~F.col("kept")).select(F.col("doc_id").alias(other)), "dropped", rows)
+        return docs.join(dropped, F.col(id_col) == F.col(other), "left_anti")
+    kept = result.where("kept").select(F.col("doc_id").alias(other), F.col("text_sha256").alias(other_sha))
+    same = F.col(id_col).eqNullSafe(F.col(other)) & (F.col(sha) == F.col(other_sha))
+    named = docs.withColumn(sha, F.sha2(collapsed(F.col(text_col)).cast("binary"), 256))
+    return named.join(kept, same, "left_semi").dropDuplicates([id_col, sha]).drop(sha)

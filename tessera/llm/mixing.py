@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, stage
@@ -11,90 +11,100 @@ SEED = 20_17
 MAX_COPIES = 3.0
 #: Weights go round: the first source by code point has 1, the second 2, the third 3, the fourth 1.
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Up to this many sources, per-source figures (under 100 bytes each) are broadcast; beyond it they are joined.
-BROADCAST_SOURCES = 20_000
-#: Bits of a rank, and of one digit of it in the search for the cut.
-RANK_BITS, DIGIT_BITS = 52, 13
+#: Up to this many rows, per-source figures (about 100 bytes each) are broadcast; beyond it they are joined.
+BROADCAST_ROWS = 100_000
+#: Bits of a rank, of the order among equal ranks, and of one digit of them in the search for the cut.
+RANK_BITS, TIE_BITS, DIGIT_BITS = 52, 39, 13
+#: Expected copies this near to a whole number are one.
+_NEAR = 1e-9
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> dict[str | None, float]:
-    """Share the total size by weight; no source gets more than `most` times its size, the excess goes to the rest by weight."""
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    left, open_, out = float(sum(sizes.values())), list(names), {}
-    while open_:
-        each = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if each * weight[s] > most * sizes[s]]
-        if not full:
-            return out | {s: each * weight[s] for s in open_}
-        for s in full:
-            out[s] = most * sizes[s]
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+def _small(figures: DataFrame) -> DataFrame:
+    """Staged figures, to be broadcast if there are few."""
+    return F.broadcast(figures) if figures.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else figures
 
 
-def _per_source(spark, rows: list[tuple], schema: str) -> DataFrame:
-    small = spark.createDataFrame(rows, schema)
-    return F.broadcast(small) if len(rows) <= BROADCAST_SOURCES else stage(small, "sources")
+def _same_source(a: DataFrame, b: DataFrame, *also: str) -> DataFrame:
+    """a with the figures that b has for its source (and other columns); null is a source like others."""
+    names = {c: f"_{c}" for c in ("source", *also)}
+    same = F.lit(True)
+    for c, other in names.items():
+        same &= F.col(c).eqNullSafe(F.col(other))
+    return a.join(b.withColumnsRenamed(names), same).drop(*names.values())
 
 
-def _same_source(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def _weighted(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Staged: the sources with their weights, which go round in the order of code points. No task sorts all sources."""
+    order = F.col("source").asc_nulls_last()
+    placed = stage(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "places")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    found = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    turn = F.pmod(place + F.col("before"), F.lit(len(weights))).cast("int") + 1
+    return stage(found.select("source", "source_size", F.element_at(F.array(*(F.lit(w) for w in weights)), turn).alias("weight")), "weights")
 
 
-def _ranked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Rows with the figures of their source and, where it takes a part of its documents, their rank in its order."""
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    rank = F.when(F.col("p") > 0, (odds / (1 + odds) * F.lit(float(1 << RANK_BITS))).cast("long"))
-    return _same_source(rows, per_source).withColumn("rank", rank)
-
-
-_PLAN = "source string, source_size long, target double, whole int, p double, missing double"
-_FULL = f"{_PLAN}, cut long, more long"
-
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
+    """(source, source_size, target) from (source, source_size): the total size, shared by weight.
 
-def _copies() -> Column:
-    """Certain copies, and one more for the documents that the sample takes."""
-    return F.col("whole") + F.coalesce((F.col("rank") <= F.col("cut")) | (F.col("rank") == F.col("more")), F.lit(False)).cast("int")
+    No source gets more than `most` times its size; the excess goes to the rest by weight. What a weight of one is worth grows as
+    sources fill up, until no other one does: each round is one aggregate over the sources.
+    """
+    found, worth = _weighted(sources, weights), 0.0
+    total = found.agg(F.sum("source_size")).first()[0] or 0
+    limit = F.lit(most) * F.col("source_size")
+    while True:
+        full = F.lit(worth) * F.col("weight") > limit
+        r = found.agg(F.sum(F.when(full, limit)).alias("given"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        now = (total - (r["given"] or 0.0)) / r["open"] if r["open"] else worth
+        if now <= worth:
+            break
+        worth = now
+    return found.select("source", "source_size", F.least(F.lit(worth) * F.col("weight"), limit).alias("target"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> dict:
-    """What the mix needs to know of a row: its source, size and draw."""
+    """What the mix needs to know of a row: its source, size, draw, and the order among rows with the same draw."""
     text = F.col(text_col)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") / F.lit(float(1 << 53))
-    return {"source": F.col(source_col).cast("string"), "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "u": draw}
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 64 - TIE_BITS)
+    return {"source": F.col(source_col).cast("string"), "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "u": draw, "tie": tie}
 
 
-def _plan(rows: DataFrame) -> list[tuple]:
-    """A row of _FULL for each source."""
-    sizes = {r["source"]: int(r["total"]) for r in rows.groupBy("source").agg(F.sum("size").alias("total")).collect()}
-    aim, plan = targets(sizes), []
-    for source, total in sizes.items():
-        ratio = aim[source] / total if total else 0.0
-        whole = min(int(ratio), int(MAX_COPIES))
-        plan.append((source, total, aim[source], whole, ratio - whole, aim[source] - whole * total))
-    cuts = {c[0]: c[1:] for c in _cuts(_ranked(rows, _per_source(rows.sparkSession, plan, _PLAN)), plan)}
-    return [(*p, *cuts[p[0]]) for p in plan]
+def _digits() -> Column:
+    """Binary digits of the size: what a document's chance of being taken grows with."""
+    return F.length(F.bin("size"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, copies, taken for each row.
+def _shares(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Staged: for each source and number of digits the whole copies and the inclusion probability p of one more.
 
-    A source whose target is r times its size gives floor(r) certain copies of each document. The rest of its
-    target is a Pareto order sample with inclusion probability p = r - floor(r): each document draws a uniform u from
-    its id and text, and the documents with the smallest odds(u) / odds(p) are taken as long as their sizes fit into what
-    is missing; one more document beyond that cut is taken if its size brings the source nearer to its target.
-    The cut of each source is found digit by digit over histograms of the ranks, so that a source with a third of all rows
-    is summed in parallel and never sorted in one task.
-
-    Null text has size 0; null sources are one source, the last. Rows that repeat an id and text share one draw.
-    Documents of size 0 are drawn like others and take 0 words. An empty table gives an empty result.
+    Expected copies are min(MAX_COPIES, c * digits), where c makes the expected words of the source its target: of the
+    classes from the longest down, the first that is not full at the c that those above it leave. A source has at most 64 classes.
     """
-    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, seed).items())), "sizes")
-    plan = _per_source(docs.sparkSession, _plan(rows), _FULL)
-    found = _ranked(rows, plan).withColumn("copies", _copies().cast("long"))
-    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    classes = stage(rows.groupBy("source", _digits().alias("digits")).agg(F.sum("size").alias("words")), "classes")
+    sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
+    found = _same_source(classes, _small(stage(sources, "targets")))
+    own = Window.partitionBy("source")
+    down = own.orderBy(F.desc("digits"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("digits")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    found = found.withColumn("c", F.when(rest > 0, (F.col("target") - MAX_COPIES * above) / rest))
+    first = F.max(F.when(F.col("c") * F.col("digits") <= MAX_COPIES, F.struct("digits", "c"))).over(own)["c"]
+    copies = F.when(F.col("target") > 0, F.least(F.lit(MAX_COPIES), F.coalesce(first * F.col("digits"), F.lit(MAX_COPIES)))).otherwise(F.lit(0.0))
+    found = found.withColumn("copies", copies)
+    found = found.withColumn("copies", F.when(F.abs(F.col("copies") - F.round("copies")) < _NEAR, F.round("copies")).otherwise(F.col("copies")))
+    found = found.withColumn("whole", F.floor("copies").cast("int")).withColumn("p", F.col("copies") - F.col("whole"))
+    missing = F.sum(F.col("words") * F.col("p")).over(own)
+    return stage(found.select("source", "digits", "source_size", "target", "whole", "p", missing.alias("missing")), "shares")
+
+
+def _ranked(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """Rows with the figures of their class and, where one more copy is drawn for, their rank in the source's order."""
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    rank = F.when(F.col("p") > 0, (odds / (1 + odds) * F.lit(float(1 << RANK_BITS))).cast("long"))
+    return _same_source(rows.withColumn("digits", _digits()), shares, "digits").withColumn("rank", rank)
 
 
 def _crossing() -> Column:
@@ -102,59 +112,94 @@ def _crossing() -> Column:
 
     A source has at most 2^DIGIT_BITS bins.
     """
-    start = F.struct(F.lit(-1).cast("long").alias("digits"), F.lit(0).cast("long").alias("size"), F.lit(-1).cast("long").alias("last"), F.lit(True).alias("alone"), F.first("below").alias("cum"))
+    kind = "struct<digits:bigint,size:bigint,rank:bigint,tie:bigint,alone:boolean>"
+    start = F.struct(F.lit(None).cast(kind).alias("bin"), F.first("below").alias("cum"))
 
     def step(found, bin_):
-        done = (found["cum"] >= F.first("missing")) & (found["digits"] >= 0)
-        return F.when(done, found).otherwise(F.struct(bin_["digits"].alias("digits"), bin_["size"].alias("size"), bin_["last"].alias("last"), bin_["alone"].alias("alone"), (found["cum"] + bin_["size"]).alias("cum")))
-
-    return F.aggregate(F.array_sort(F.collect_list(F.struct("digits", "size", "last", "alone"))), start, step)
-
-
-def _cuts(ranked: DataFrame, plan: list[tuple]) -> list[tuple[str | None, int, int]]:
-    """(source, cut, more): ranks up to cut are taken (-1: none), and the rank more (-1: no other)."""
-    spark = ranked.sparkSession
-    cut = {p[0]: -1 for p in plan}
-    #: source -> (leading digits of the cut so far, size of all documents below them)
-    at = {p[0]: (0, 0) for p in plan if p[5] > 0}
-    missing = {p[0]: p[5] for p in plan}
-    gap: dict[str | None, float] = {}
-    for shift in range(RANK_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
-        if not at:
+        done = found["bin"].isNotNull() & (found["cum"] >= F.first("missing"))
+        return F.when(done, found).otherwise(F.struct(bin_.cast(kind).alias("bin"), (found["cum"] + bin_["size"]).alias("cum")))
+
+    return F.aggregate(F.array_sort(F.collect_list(F.struct("digits", "size", "rank", "tie", "alone"))), start, step)
+
+
+def _cuts(ranked: DataFrame, shares: DataFrame) -> DataFrame:
+    """Staged (source, cut_rank, cut_tie, more_rank, more_tie): rows before the cut are taken, and of each source one more, if there is one.
+
+    The cut is found digit by digit, over histograms of the ranks and then, among rows of one rank, of their ties. What is
+    known of each source stays in staged tables.
+    """
+    ranked = ranked.where("p > 0").select("source", "size", "rank", "tie")
+    here = shares.where("missing > 0").select("source", "missing", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("at_rank"), F.lit(0).cast("long").alias("below")).distinct()
+    here, done = stage(here, "open"), None
+    levels = [("rank", s) for s in range(RANK_BITS - DIGIT_BITS, -1, -DIGIT_BITS)] + [("tie", s) for s in range(TIE_BITS - DIGIT_BITS, -1, -DIGIT_BITS)]
+    for k, (column, shift) in enumerate(levels):
+        within = F.shiftright(column, shift + DIGIT_BITS) == F.col("at")
+        if column == "tie":
+            within &= F.col("rank") == F.col("at_rank")
+        bins = _same_source(ranked, _small(here)).where(within).groupBy("source", "missing", "below", F.shiftright(column, shift).alias("digits"))
+        bins = bins.agg(F.sum("size").alias("size"), F.max("rank").alias("rank"), F.max("tie").alias("tie"), (F.max(F.struct("rank", "tie")) == F.min(F.struct("rank", "tie"))).alias("alone"))
+        edge = stage(bins.groupBy("source", "missing").agg(_crossing().alias("edge")).select("source", "missing", "edge.bin.*", "edge.cum"), "edges")
+        all_of_it = F.col("cum") < F.col("missing")  # by rounding
+        closed = all_of_it | F.col("alone") | F.lit(k == len(levels) - 1)
+        cut = F.when(all_of_it, F.lit(1 << (RANK_BITS + 1))).otherwise(F.col("rank"))
+        gap = F.col("missing") - F.when(all_of_it, F.col("cum")).otherwise(F.col("cum") - F.col("size"))
+        found = edge.where(closed).select("source", cut.alias("cut_rank"), F.col("tie").alias("cut_tie"), gap.alias("gap"))
+        done = found if done is None else done.unionAll(found)
+        turn = F.lit(0).cast("long") if (column, shift) == ("rank", 0) else F.col("digits")
+        here = stage(edge.where(~closed).select("source", "missing", turn.alias("at"), F.col("rank").alias("at_rank"), (F.col("cum") - F.col("size")).alias("below")), "open")
+        if here.isEmpty():
             break
-        here = _per_source(spark, [(s, *v, missing[s]) for s, v in at.items()], "source string, head long, below long, missing double")
-        bins = (
-            _same_source(ranked.where("p > 0").select("source", "size", "rank"), here)
-            .where(F.shiftright("rank", shift + DIGIT_BITS) == F.col("head"))
-            .groupBy("source", "below", "missing", F.shiftright("rank", shift).alias("digits"))
-            .agg(F.sum("size").alias("size"), F.max("rank").alias("last"), (F.max("rank") == F.min("rank")).alias("alone"))
-        )
-        after = {}
-        for r in bins.groupBy("source", "below", "missing").agg(_crossing().alias("edge")).select("source", "edge.*").collect():
-            source, below = r["source"], r["cum"] - r["size"]
-            if r["cum"] < missing[source]:  # rounding: all that is there is taken
-                cut[source] = 1 << RANK_BITS
-            elif shift and not r["alone"]:
-                after[source] = (r["digits"], below)
-            else:
-                exact = r["cum"] == missing[source]
-                cut[source] = r["last"] if exact else r["last"] - 1
-                gap[source] = 0.0 if exact else missing[source] - below
-        at = after
-    open_ = _per_source(spark, [(s, cut[s], g) for s, g in gap.items() if g > 0], "source string, cut long, gap double")
-    beyond = _same_source(ranked.where("p > 0").select("source", "size", "rank"), open_).where("rank > cut and size < 2 * gap")
-    nearest = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "rank")).alias("best"))
-    more = {r["source"]: r["best"]["rank"] for r in nearest.collect()}
-    return [(s, c, more.get(s, -1)) for s, c in cut.items()]
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    done = stage(done, "cuts")
+    beyond = _same_source(ranked, _small(done)).where(~_before()).where("size < 2 * gap")
+    nearest = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "tie")).alias("best"))
+    nearest = nearest.select(F.col("source").alias("_source"), F.col("best.rank").alias("more_rank"), F.col("best.tie").alias("more_tie"))
+    return done.join(nearest, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "gap")
+
+
+def _before() -> Column:
+    return (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("tie") < F.col("cut_tie")))
+
+
+def _copies() -> Column:
+    """Certain copies, and one more for the documents that the sample takes."""
+    one_more = _before() | ((F.col("rank") == F.col("more_rank")) & (F.col("tie") == F.col("more_tie")))
+    return F.col("whole") + F.coalesce(one_more, F.lit(False)).cast("int")
+
+
+def _plan(rows: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Figures of each source and number of digits, to be joined with rows."""
+    shares = _shares(rows, weights)
+    cuts = _cuts(_ranked(rows, _small(shares)), shares).withColumnRenamed("source", "_source")
+    return _small(stage(shares.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"), "plan"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The mix: doc_id, source, size, source_size, target, expected, copies, taken for each row.
+
+    Within a source, the expected copies of a document are in proportion to the binary digits of its size, up to three, such that the
+    expected words of the source are its target. Their whole part is certain; for the rest, p, it takes part in a Pareto order sample: each document draws a
+    uniform u from its id and text, and the documents with the smallest odds(u) / odds(p) are taken as long as their sizes fit into
+    what is missing; one more document beyond that cut is taken if its size brings the source nearer to its target.
+    The cut of each source is found digit by digit over histograms of the ranks, so that a source with a third of all rows
+    is summed in parallel and never sorted in one task, and figures of sources stay in tables.
+
+    Null text has size 0; null sources are one source, the last. Rows that repeat an id and text have the same u, so the same chance, and are
+    taken one by one in an order of their own: the cut may run between them. Documents of size 0 or 1 have one digit; the former take
+    0 words. Where all sizes are 0, nothing is taken. An empty table gives an empty result. Other columns are ignored.
+    """
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, seed).items())), "sizes")
+    found = _ranked(rows, _plan(rows, weights)).withColumn("copies", _copies().cast("long"))
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).alias("expected"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken.
 
-    Each row is drawn where it is read, with the figures of its source: texts are not shuffled.
+    Each row is drawn where it is read, with the figures of its source: texts are not shuffled. For that docs is read twice; of rows
+    that repeat an id and text, the same number is taken if it gives them in the same order both times, as files do.
     """
     kept = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
     rows = docs.select(kept, *(c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col, seed).items()))
-    sizes = stage(rows.select("source", "size", "u"), "sizes")
-    drawn = _ranked(rows, _per_source(docs.sparkSession, _plan(sizes), _FULL)).withColumn("copies", _copies()).where("copies > 0")
+    sizes = stage(rows.drop("row"), "sizes")
+    drawn = _ranked(rows, _plan(sizes, weights)).withColumn("copies", _copies()).where("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
