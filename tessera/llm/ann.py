@@ -20,13 +20,34 @@ _SEED = 5
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): rows with an id and a vector of finite components that are not all zero."""
+    """(vec_id, v): rows with an id and a vector of finite components that are not all zero. Vectors of floats stay so, others are of doubles."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(fine)
 
 
+def scale_of(rows: DataFrame) -> float:
+    """A power of two near the largest component: divided by it, any vector can be coded in single precision."""
+    most = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x).cast("double"))))).first()[0]
+    return float(2.0 ** np.floor(np.log2(most))) if most else 1.0
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance over the last axis in double precision; where squares leave its range, of the scaled difference."""
+    with np.errstate(over="ignore"):
+        off = a - b
+        out = np.sqrt((off**2).sum(-1))
+    odd = ~np.isfinite(out) | (out < 1e-150)
+    if odd.any():
+        with np.errstate(over="ignore", invalid="ignore"):
+            off = off[odd]
+            most = np.abs(off).max(-1, keepdims=True)
+            out[odd] = np.where(most[..., 0] > 0, most[..., 0] * np.sqrt(((off / np.where(most > 0, most, 1)) ** 2).sum(-1)), 0.0)
+    return out
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(ROUNDS):
@@ -87,17 +108,19 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def fit(rows: DataFrame) -> tuple[Codebooks | None, int]:
-    """Codebooks of the usable rows and their dimension; vectors of another length than the commonest take no part."""
+def fit(rows: DataFrame) -> tuple[Codebooks | None, int, float]:
+    """Codebooks of the usable rows, their dimension, and the scale that coding divides by; vectors of another length than the commonest take no part."""
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not lengths:
-        return None, 0
+        return None, 0, 1.0
     d = lengths[0]["d"]
-    sample = rows.where(F.size("v") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    return Codebooks.fit(_matrix(sample.column(0).combine_chunks(), d).astype(np.float32)), d
+    same = rows.where(F.size("v") == d)
+    scale = scale_of(same)
+    sample = same.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    return Codebooks.fit((_matrix(sample.column(0).combine_chunks(), d) / scale).astype(np.float32)), d, scale
 
 
-def build_index(rows: DataFrame, books: Codebooks, d: int) -> DataFrame:
+def build_index(rows: DataFrame, books: Codebooks, d: int, scale: float = 1.0) -> DataFrame:
     """Staged index: vec_id, code, norm of the coded vector, and the vector for reranking."""
     sent = rows.sparkSession.sparkContext.broadcast(books.books)
 
@@ -105,12 +128,13 @@ def build_index(rows: DataFrame, books: Codebooks, d: int) -> DataFrame:
         own = Codebooks(sent.value)
         for batch in batches:
             x = _matrix(batch.column(1), d)
-            codes = own.encode(x.astype(np.float32))
+            codes = own.encode((x / scale).astype(np.float32))
             norms = (own.decode(codes) ** 2).sum(1).astype(np.float32)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(norms), batch.column(1)], names=["vec_id", "code", "norm", "v"])
 
-    return stage(rows.where(F.size("v") == d).mapInArrow(lean(run), "vec_id long, code binary, norm float, v array<float>"), "codes")
+    kind = dict(rows.dtypes)["v"]
+    return stage(rows.where(F.size("v") == d).mapInArrow(lean(run), f"vec_id long, code binary, norm float, v {kind}"), "codes")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -123,14 +147,14 @@ def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(rank, axis=1, kind="stable")[:, :n]
 
 
-def search_block(index: DataFrame, books: Codebooks, d: int, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each task for each query of a block; score is the exact distance."""
+def search_block(index: DataFrame, books: Codebooks, d: int, scale: float, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """Staged (query_id, vec_id, score): the k best of each task for each query of a block; score is the exact distance."""
     sent = index.sparkSession.sparkContext.broadcast((books.flat, len(books.books), ids, queries))
 
     def run(batches):
         flat, m, q_ids, q = sent.value
         words = len(flat) // m
-        tables = (q.astype(np.float32) @ flat.T).astype(np.float32)
+        tables = ((q / scale).astype(np.float32) @ flat.T).astype(np.float32)
         exact = q.astype(np.float64)
         best_d = np.full((len(q), k), np.inf)
         best_i = np.full((len(q), k), np.iinfo(np.int64).max)
@@ -149,7 +173,7 @@ def search_block(index: DataFrame, books: Codebooks, d: int, ids: np.ndarray, qu
                         score -= 2 * tables[lo:hi, b * words : (b + 1) * words][:, codes[:, b]]
                     score[q_ids[lo:hi, None] == v_ids[None, :]] = np.inf
                     near = _best(score, v_ids, RERANK)
-                    distance = np.sqrt(((vectors[near].astype(np.float64) - exact[lo:hi, None, :]) ** 2).sum(2))
+                    distance = distances(vectors[near].astype(np.float64), exact[lo:hi, None, :])
                     distance[np.isinf(np.take_along_axis(score, near, 1))] = np.inf
                     all_d = np.concatenate([best_d[lo:hi], distance], axis=1)
                     all_i = np.concatenate([best_i[lo:hi], v_ids[near]], axis=1)
@@ -158,31 +182,34 @@ def search_block(index: DataFrame, books: Codebooks, d: int, ids: np.ndarray, qu
         found = np.isfinite(best_d)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, found.sum(1))), pa.array(best_i[found]), pa.array(best_d[found])], names=["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(lean(run), "query_id long, vec_id long, score double")
+    found = stage(index.mapInArrow(lean(run), "query_id long, vec_id long, score double"), "nearest")
+    sent.destroy()
+    return found
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k nearest others found.
 
-    Every usable row is coded and scored against every query: the queries go to the tasks in blocks of bounded size, and each
+    Every usable row is coded and scored against every query: the queries go to the tasks in blocks of bounded size, one after the other, and each
     task scans its part of the index by table lookups, measures the RERANK best of each STEP rows exactly on the original vectors, and hands on k
     rows a query. Ties go to the smaller id. Vectors that are null, zero, of another length than the commonest or hold null or
     non-finite components take no part, nor do rows without an id. Rows that share a query's id are its own and no candidates;
-    of several such rows the smallest vector is the query. Fewer than two usable rows give no result.
+    of several such rows the smallest vector is the query. Vectors are coded in single precision, divided by a power of two, and
+    measured as they are. Fewer than two usable rows give no result.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    books, d = fit(rows)
+    books, d, scale = fit(rows)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = build_index(rows, books, d)
+    index = build_index(rows, books, d, scale)
     asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "v").groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     parts = []
     for block in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
         if got.num_rows:
-            parts.append(search_block(index, books, d, got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), d), k))
+            parts.append(search_block(index, books, d, scale, got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), d), k))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]

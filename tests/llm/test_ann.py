@@ -41,3 +41,14 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 8, 0.0), (0, 2, 100, 0.5), (100, 1, 0, 0.5), (100, 2, 8, 0.5)]
     assert ann.nearest(vectors.limit(0)).count() == 0
     assert ann.nearest(vectors.where("vec_id = 8")).count() == 0
+
+
+def test_doubles_are_measured_as_they_are(spark):
+    rows = [(0, [1e39, 2.0]), (100, [1e39, 2.5]), (1, [-1e300, 1e300]), (2, [1.0, 2.0]), (3, [1e-200, 0.0]), (4, [0.1, 0.2]), (5, [float("inf"), 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(vectors).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert set(got) == {0, 100} and set(got[0]) == {100, 1, 2, 3, 4} and got[0][100] == 0.5 and got[100][0] == 0.5
+    assert got[0][4] == float(np.sqrt(((np.array([0.1, 0.2]) - np.array([1e39, 2.0])) ** 2).sum())) and abs(got[0][1] / (2**0.5 * 1e300) - 1) < 1e-12
+    assert ann.distances(np.array([[1e-200, 0.0]]), np.zeros(2))[0] == 1e-200
