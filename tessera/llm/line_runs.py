@@ -26,9 +26,12 @@ _LEVEL = "uid long, doc_id long, i int, length int, most int, rank long"
 _MEET = "uid long, doc_id long, i int, length int, most int, a long, b long"
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged (uid, doc_id, i, words, h1, h2): the lines of each row, without the white space around them, as 128-bit ids."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Staged (uid, doc_id, i, words, h1, h2): the lines of each row (uid, doc_id, text), without the white space around them, as 128-bit ids."""
     lines = rows.select("uid", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")))
     return stage(
         lines.select("uid", "doc_id", "i", F.regexp_count("line", F.lit(WORD)).cast("int").alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")),
@@ -133,9 +136,9 @@ def _with_id(rows: DataFrame) -> list:
     return ["uid", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("missing")]
 
 
-def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_runs(rows: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lines, copies): the staged lines, and staged (uid, doc_id, i, length), the runs that occur earlier."""
-    lines = lines_of(docs, id_col, text_col)
+    lines = lines_of(rows)
     ranks = _ranked(lines, "h1", "h2")
     active = lines.join(ranks, ["h1", "h2"])
     start = stage(_sorted(active.select(*_with_id(active), "i", "words", "rank")).mapInArrow(lean(_runs(least)), _LEVEL), "level")
@@ -174,6 +177,11 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array(uid[:1]), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["uid", "spans"])
 
 
+def _spans(copies: DataFrame) -> DataFrame:
+    """Staged (uid, spans)."""
+    return stage(_sorted(copies.select("uid", "i", "length").distinct()).mapInArrow(lean(_merged), "uid long, spans array<struct<start:int,end:int>>"), "spans")
+
+
 def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, removed_lines, removed_words, spans), one row for each input row.
 
@@ -184,8 +192,9 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id"
     Null text has no lines; empty text has one empty line. Null ids come last. Rows that repeat an id come in the order in which they are read, and each
     has its own row. An empty table gives an empty result. Other columns are ignored.
     """
-    lines, copies = repeated_runs(docs, least, id_col, text_col)
-    spans = stage(_sorted(copies.select("uid", "i", "length").distinct()).mapInArrow(lean(_merged), "uid long, spans array<struct<start:int,end:int>>"), "spans")
+    rows = _numbered(docs, id_col, text_col)
+    lines, copies = repeated_runs(rows, least)
+    spans = _spans(copies)
     gone = spans.select("uid", F.explode("spans").alias("s")).select("uid", F.explode(F.sequence(F.col("s.start"), F.col("s.end") - 1)).alias("i"), F.lit(1).alias("hit"))
     counts = lines.join(gone, ["uid", "i"], "left").groupBy("uid", F.col("doc_id").alias("doc_id"))
     counts = counts.agg(F.count("*").alias("n_lines"), F.count("hit").alias("removed_lines"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("words"))), F.lit(0)).cast("long").alias("removed_words"))
@@ -198,9 +207,15 @@ def line_dedup(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id"
 
 
 def without_runs(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the lines that line_dedup removes, with all their columns. Ids must be unique."""
-    spans = stage(line_dedup(docs, least, id_col, text_col).where("removed_lines > 0").select(F.col("doc_id").alias("_doc_id"), "spans"), "removals").withColumnRenamed("spans", "_spans")
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_doc_id")), "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    """The documents without the lines that line_dedup removes, with all their columns.
+
+    Rows are told apart by their place, so ids may repeat or be null; the rows are staged for that. Null text stays null.
+    """
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("uid"), whole), "rows")
+    given = rows.select("uid", F.col("row")[id_col].cast("long").alias("doc_id"), F.col("row")[text_col].cast("string").alias("text"))
+    joined = rows.join(_spans(repeated_runs(given, least)[1]), "uid", "left")
+    text = F.col("row")[text_col]
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    left = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*((left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -61,3 +61,7 @@ def test_odd_rows(spark):
     same = spark.createDataFrame([(1, long), (1, long), (1, long)], "doc_id long, text string")
     assert sorted(r["removed_lines"] for r in line_runs.line_dedup(same).collect()) == [0, 700, 700]
     assert line_runs.line_dedup(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, long, 1, 2), (1, long, 3, 4), (None, long, 5, 6), (1, None, 7, 8)], "doc_id long, text string, spans int, _doc_id int")
+    left = line_runs.without_runs(odd)
+    assert left.columns == odd.columns and sorted((r["spans"], r["text"]) for r in left.where("text is not null").collect()) == [(1, long), (3, ""), (5, "")]
+    assert left.where("text is null").count() == 1
