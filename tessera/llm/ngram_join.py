@@ -4,12 +4,15 @@ Each distinct set of shingles is a point: the number of its shingles in each of
 coordinate minima of two points bounds the size of the intersection from above, and so does the sum against the upper
 corner of an R-tree node for all points below it. Where a point can meet another is decided by the rarest shingles:
 two sets with a Jaccard coefficient of t or more share one among the rarest n - ceil(t n) + 1 of each, whatever the order,
-as long as it is one order for all. Sets that share such a shingle share a block; an R-tree is built in each.
+as long as it is one order for all. Sets that share such a shingle share a block, and each block has an R-tree. First the pivot of each block is
+searched for in its tree, and each set is compared with the pivot that finds it most often; then the trees are searched for what lies in
+different components of one block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import TEXTS, lean, stage
+from .shared import TEXTS, drop_staged, fresh, lean, stage
 
 WORDS = 5
 #: Two sets link when HUNDRED * intersection >= SIMILAR * union.
@@ -28,15 +31,18 @@ GROUPS = 64
 SKETCH_BITS, SLICE_BITS = 19, 13
 #: A shingle that may be in this many sets more than its counter's background is salted; a block holds about as many sets.
 BLOCK = 4_096
-#: Blocks up to this size are compared without a tree.
-SMALL = 24
+#: Rows of a task's blocks whose trees are built at once, and pairs of a query and a node that are looked at together.
+SLAB, PIECE = 50_000, 30_000
 #: Pairs that one set verifies in one group of rows.
 STAR = 512
 #: A set weighs about as much as so many rows of numbers.
 SET_ROWS = 100
 FANOUT = 16
-WORD_CACHE = 250_000
+#: Words that a task remembers, and sets that it has already entered.
+WORD_CACHE, SET_CACHE = 100_000, 200_000
 SLOTS = 1 << 23
+#: Names of sets are the leading half of 128 bits. Of those who share it, as a few sets in many billions do, all but one get the other half; so many at most.
+NAME_BITS, MOST_SHARED = 64, 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,9 +80,19 @@ class Shingler:
         return np.unique(mixed)
 
 
-def set_name(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set; equal sets have equal names."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+class Namer:
+    """64-bit names of sets; equal sets have equal names. shared: the leading halves that several sets have, with the other half of the one that keeps it."""
+
+    def __init__(self, shared: dict[int, int] | None = None):
+        self.shared, self.drop = shared or {}, 64 - NAME_BITS
+
+    def halves(self, shingles: np.ndarray) -> tuple[int, int]:
+        name, other = struct.unpack("<qq", hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+        return name >> self.drop, other
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        name, other = self.halves(shingles)
+        return other if self.shared.get(name, other) != other else name
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
@@ -101,47 +117,63 @@ def needed(a, b):
     return -(-SIMILAR * (a + b) // (HUNDRED + SIMILAR))
 
 
-class CountTree:
-    """R-tree over count vectors, packed by sorting; a node keeps its upper corner and its least set size."""
-
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        wide = np.argsort(-vectors.clip(max=255).var(axis=0), kind="stable")[:2] if len(vectors) else [0, 1]
-        self.order = np.lexsort((vectors[:, wide[1]], vectors[:, wide[0]] // 4, sizes // 8)) if len(vectors) else np.zeros(0, np.int64)
-        self.levels = [(vectors[self.order], sizes[self.order], sizes[self.order])]
-        while len(self.levels[-1][0]) > 1:
-            corner, least, most = self.levels[-1]
-            starts = np.arange(0, len(corner), FANOUT)
-            self.levels.append((np.maximum.reduceat(corner, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)))
-
-    def search(self, vector: np.ndarray, size: int) -> np.ndarray:
-        """Rows whose bound allows a link with the given point."""
-        if not len(self.order):
-            return self.order
-        at = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            corner, least, most = self.levels[level]
-            bound = np.minimum(corner[at], vector).sum(axis=1)
-            fits = (bound >= needed(least[at], size)) & (HUNDRED * most[at] >= SIMILAR * size) & (SIMILAR * least[at] <= HUNDRED * size)
-            at = at[fits]
-            if level:
-                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                at = at[at < len(self.levels[level - 1][0])]
-        return self.order[at]
+class CountForest:
+    """R-trees over count vectors, one for each block, packed by sorting and laid side by side.
+
+    A node keeps its upper corner and its least and greatest set size. block: the numbers of the blocks from 0 on, ascending. Rows
+    are those of `order`: results are places in it.
+    """
+
+    def __init__(self, block: np.ndarray, vectors: np.ndarray, sizes: np.ndarray):
+        wide = np.argsort(-vectors.clip(max=255).var(axis=0), kind="stable")[:2]
+        self.order = np.lexsort((vectors[:, wide[1]], vectors[:, wide[0]] // 4, sizes // 8, block))
+        self.vectors, self.sizes, self.block = vectors[self.order], sizes[self.order], block
+        counts = np.bincount(block)
+        #: of each level: corner, least, most, and of each node the first child and their number
+        self.levels = [(self.vectors, self.sizes, self.sizes, None, None)]
+        while counts.max() > 1 or len(self.levels) == 1:
+            corner, least, most, *_ = self.levels[-1]
+            nodes = -(-counts // FANOUT)
+            first, into = np.cumsum(counts) - counts, np.cumsum(nodes) - nodes
+            starts = np.repeat(first, nodes) + FANOUT * (np.arange(nodes.sum()) - np.repeat(into, nodes))
+            children = np.diff(np.r_[starts, len(corner)])
+            self.levels.append((np.maximum.reduceat(corner, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts), starts, children))
+            counts = nodes
+
+    def search(self, queries: np.ndarray):
+        """Pairs (query, row) of one block whose bound allows a link, in pieces; a row also meets itself."""
+        todo = [(len(self.levels) - 1, queries[at : at + PIECE], self.block[queries[at : at + PIECE]]) for at in range(0, len(queries), PIECE)]
+        while todo:
+            level, q, node = todo.pop()
+            corner, least, most, starts, children = self.levels[level]
+            bound, size = np.minimum(corner[node], self.vectors[q]).sum(axis=1), self.sizes[q]
+            fits = (bound >= needed(least[node], size)) & (HUNDRED * most[node] >= SIMILAR * size) & (SIMILAR * least[node] <= HUNDRED * size)
+            q, node = q[fits], node[fits]
+            if not len(q):
+                continue
+            if not level:
+                yield q, node
+                continue
+            n = children[node]
+            below = np.repeat(starts[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            q = np.repeat(q, n)
+            todo += [(level - 1, q[at : at + PIECE], below[at : at + PIECE]) for at in range(0, len(q), PIECE)]
 
 
 def _summary(docs: DataFrame, words: int) -> DataFrame:
     """Staged: a row for each document (n, name, vector), and slices of the frequency sketch of each task."""
-    schema = "doc_id long, uid long, n long, name long, vector binary, slice int, counters binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("vector", pa.binary()), ("slice", pa.int32()), ("counters", pa.binary())])
+    schema = "doc_id long, n long, name long, other long, vector binary, slice int, counters binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("other", pa.int64()), ("vector", pa.binary()), ("slice", pa.int32()), ("counters", pa.binary())])
+    namer = Namer()
 
     def run(batches):
         cut, sketch = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             rows = []
-            for doc, uid, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 found = cut(text)
                 np.add.at(sketch, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                rows.append((doc, uid, len(found), set_name(found) if len(found) else None, count_vector(found), None, None))
+                rows.append((doc, len(found), *(namer.halves(found) if len(found) else (None, None)), count_vector(found), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow) if rows else pa.RecordBatch.from_pylist([], arrow)
         slices = sketch.reshape(-1, 1 << SLICE_BITS).astype("<i4")
         rows = [(None, None, None, None, None, k, s.tobytes()) for k, s in enumerate(slices)]
@@ -168,25 +200,30 @@ def _sketch(summary: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _entries(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
+def _entries(docs: DataFrame, sketch: np.ndarray, namer: Namer, words: int) -> DataFrame:
     """(key, salt, name, n, pos): each set under its rarest shingles, with their places in its order of rarity.
 
-    Shingles that may be frequent are salted.
+    Shingles that may be frequent are salted. A task enters a set once, or again when it has met many others.
     """
     sent = docs.sparkSession.sparkContext.broadcast((sketch, 2 * int(np.median(sketch))))
 
     def run(batches):
-        cut, (often, background) = Shingler(words), sent.value
+        cut, (often, background), entered = Shingler(words), sent.value, set()
         for batch in batches:
+            if len(entered) > SET_CACHE:
+                entered.clear()
             keys, salts, names, sizes, places = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 found = cut(text)
                 n = len(found)
                 if HUNDRED * n < SIMILAR * (n + 1) or n == 0:  # only equal sets can be as similar
                     continue
+                name = namer(found)
+                if name in entered:
+                    continue
+                entered.add(name)
                 seen = often[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 rare = np.lexsort((found, seen))[: rare_count(n)]
-                name = set_name(found)
                 keys.append(found[rare].view(np.int64))
                 parts = (seen[rare] - background).clip(0) // BLOCK + 1
                 salts.append(np.where(parts > 1, 1 + (name & (2**63 - 1)) % parts, 0).astype(np.int32))
@@ -199,10 +236,31 @@ def _entries(docs: DataFrame, sketch: np.ndarray, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(lean(run, TEXTS), "key long, salt int, name long, n int, pos int")
 
 
-def _meet(batches, columns: int):
-    """All rows of a partition as arrays."""
-    parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(columns)] for b in batches if b.num_rows]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None
+def _whole(batches, least: int = 1):
+    """The rows of sorted batches as arrays, in runs of at least so many rows that end where the first two columns change."""
+    held: list[pa.RecordBatch] = []
+
+    def out(parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return [table.column(k).chunk(0) if table.num_rows else None for k in range(table.num_columns)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        if held and sum(h.num_rows for h in held) >= least:
+            last = tuple(held[-1].column(k)[-1].as_py() for k in range(2))
+            same = (one == last[0]) & (two == last[1])
+            end = len(same) if same.all() else int(np.argmin(same))
+            if end:
+                held.append(batch.slice(0, end))
+            if end == batch.num_rows:
+                continue
+            yield out(held)
+            held, batch = [], batch.slice(end)
+        held.append(batch)
+    if held:
+        yield out(held)
 
 
 def reach(n, pos):
@@ -218,16 +276,21 @@ def _blocks(entries: DataFrame) -> DataFrame:
     """
 
     def gather(batches):
-        got = _meet(batches, 5)
-        if got is None:
-            return
-        key, salt, name, n, pos = got
-        order = np.lexsort((name, n, pos, salt, key))
-        key, salt, name, n, pos = (x[order] for x in (key, salt, name, n, pos))
+        for got in _whole(batches):
+            yield met(*(x.to_numpy(zero_copy_only=False) for x in got))
+
+    def met(key, salt, name, n, pos):
         new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
         once = new | np.r_[True, name[1:] != name[:-1]]  # equal sets are next to each other
         key, salt, name, n, pos, new = (x[once] for x in (key, salt, name, n, pos, new))
-        starts = np.flatnonzero(new)
+        block = np.cumsum(new) - 1
+        order = np.lexsort((n, block))  # a set is out where not even the next larger or smaller one is near its size
+        near = (np.diff(block[order]) == 0) & (HUNDRED * n[order][:-1].astype(np.int64) >= SIMILAR * n[order][1:].astype(np.int64))
+        able = np.zeros(len(n), bool)
+        able[order] = np.r_[near, False] | np.r_[False, near]
+        able |= salt > 0
+        key, salt, name, n, pos, block = (x[able] for x in (key, salt, name, n, pos, block))
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
         counts = np.diff(np.r_[starts, len(key)])
         pivot = np.repeat(name[starts], counts)
         alive = counts > 1
@@ -237,9 +300,27 @@ def _blocks(entries: DataFrame) -> DataFrame:
         alive[counts == 2] = (left >= needed(a, b)) & (HUNDRED * np.minimum(a, b) >= SIMILAR * np.maximum(a, b))
         keep = np.repeat(alive, counts) | (salt > 0)
         columns = (key, name, n, pos, pivot, salt > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "name", "n", "pos", "pivot", "salted"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["key", "name", "n", "pos", "pivot", "salted"])
 
-    return stage(entries.repartition("key", "salt").mapInArrow(lean(gather), "key long, name long, n int, pos int, pivot long, salted boolean"), "blocks")
+    sorted_ = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "n", "name")
+    return stage(sorted_.mapInArrow(lean(gather), "key long, name long, n int, pos int, pivot long, salted boolean"), "blocks")
+
+
+def _found_by_pivots(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(name, pivot, common): what the trees find for the pivots of their blocks, and in how many blocks."""
+    rows = blocks.select("key", "pivot", "name", "n", "pos").join(classes.select("name", "vector"), "name").select("key", "pivot", "name", "n", "pos", "vector")
+
+    def search(batches):
+        for key, pivot, name, n, pos, vector in _whole(batches, SLAB):
+            key, pivot, name, n, pos = (x.to_numpy(zero_copy_only=False) for x in (key, pivot, name, n, pos))
+            forest = CountForest(np.cumsum(np.r_[False, (np.diff(key) != 0) | (np.diff(pivot) != 0)]), vectors_of(vector.to_pylist()), n.astype(np.int64))
+            name, pivot, left = (x[forest.order] for x in (name, pivot, reach(n, pos).astype(np.int64)))
+            for q, row in forest.search(np.flatnonzero(name == pivot)):
+                fits = (row != q) & (np.minimum(left[row], left[q]) >= needed(forest.sizes[row], forest.sizes[q]))
+                yield pa.RecordBatch.from_arrays([pa.array(name[row[fits]]), pa.array(name[q[fits]])], names=["name", "pivot"])
+
+    met = rows.repartition("key", "pivot").sortWithinPartitions("key", "pivot", "n", "name")
+    return met.mapInArrow(lean(search), "name long, pivot long").groupBy("name", "pivot").agg(F.count("*").alias("common"))
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
@@ -259,7 +340,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
     return stage(joined.mapInArrow(lean(keep), "a long, b long"), "pairs", rows)
 
 
-def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, namer: Namer, words: int) -> DataFrame:
     """Staged (name, members): the sets of the given names, cut again from a document of each.
 
     A bit table of fixed size tells the tasks which documents may be asked for; a set may come from several tasks, and a few
@@ -279,7 +360,7 @@ def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, words: int) ->
             texts = batch.column(1)
             for k in np.flatnonzero(table[batch.column(0).to_numpy()]):
                 found = cut(texts[k].as_py())
-                name = set_name(found)
+                name = namer(found)
                 if len(found) and name not in seen:
                     seen.add(name)
                     rows.append((name, found.tobytes()))
@@ -288,7 +369,7 @@ def _sets(docs: DataFrame, names: DataFrame, classes: DataFrame, words: int) ->
     return stage(docs.select(slot("doc_id").alias("slot"), "text").mapInArrow(lean(run, TEXTS), "name long, members binary"), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, namer: Namer, words: int) -> DataFrame:
     """Staged (u, v): the pairs whose sets are similar.
 
     Pairs meet at their second set, the hub, in groups of about STAR; a hub's set goes to each of its groups once, and
@@ -296,7 +377,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
     """
     n = pairs.count()
     names = stage(pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct(), "names", 2 * n)
-    sets = _sets(docs, names, classes, words)
+    sets = _sets(docs, names, classes, namer, words)
     hubs = stage(pairs.groupBy("b").agg((F.ceil(F.count("*") / STAR)).cast("int").alias("parts")), "hubs", n)
     parts = pairs.join(hubs, "b").select(F.col("a").alias("name"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     own = hubs.select(F.col("b").alias("name"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
@@ -318,7 +399,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
                         vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return stage(met.mapInArrow(lean(check), "u long, v long"), "links", SET_ROWS * n)
+    links = stage(met.mapInArrow(lean(check), "u long, v long"), "links", SET_ROWS * n)
+    for old in (names, sets, hubs):
+        drop_staged(old)
+    return links
 
 
 def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: DataFrame, rows: int) -> DataFrame:
@@ -338,62 +422,36 @@ def _across(blocks: DataFrame, joined: DataFrame, classes: DataFrame, tried: Dat
     met = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "name")
 
     def search(batches):
-        seen: list[np.ndarray] = []
-
-        def found(name, component, n, pos, other, column):
-            vectors, left = vectors_of(column), reach(n, pos)
-            if len(name) <= SMALL:
-                bound = np.minimum(np.minimum(vectors[:, None, :], vectors[None, :, :]).sum(axis=2), np.minimum.outer(left, left))
-                fits = (bound >= needed(n[:, None], n[None, :])) & (component[:, None] != component[None, :])
-                i, j = np.nonzero(np.triu(fits & (HUNDRED * np.minimum.outer(n, n) >= SIMILAR * np.maximum.outer(n, n)), 1))
-                yield name[i], name[j]
-                return
-            tree = CountTree(vectors, n)
-            for i in np.flatnonzero(other):
-                near = tree.search(vectors[i], n[i])
-                near = near[(component[near] != component[i]) & (~other[near] | (near > i))]
-                near = near[np.minimum(left[near], left[i]) >= needed(n[near], n[i])]
-                if len(near):
-                    yield np.full(len(near), name[i]), name[near]
-
-        def out():
-            if seen:
-                both = np.unique(np.concatenate(seen), axis=0)
-                seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        held = 0
-        for block in _groups(batches, 7):
-            if len(block[0]) > 1:
-                for a, b in found(*block[2:]):
-                    seen.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
-                    held += len(a)
-                    if held > 500_000:
-                        yield from out()
-                        held = 0
-        yield from out()
+        for key, part, name, component, n, pos, other, vector in _whole(batches, SLAB):
+            key, part, name, component, n, pos, other = (x.to_numpy(zero_copy_only=False) for x in (key, part, name, component, n, pos, other))
+            block = np.cumsum(np.r_[False, (np.diff(key) != 0) | (np.diff(part) != 0)])
+            forest = CountForest(block, vectors_of(vector.to_pylist()), n.astype(np.int64))
+            name, component, other, left = (x[forest.order] for x in (name, component, other, reach(n, pos).astype(np.int64)))
+            seen, held = [], 0
+            for q, row in forest.search(np.flatnonzero(other)):
+                fits = (component[row] != component[q]) & (~other[row] | (row > q))
+                fits &= np.minimum(left[row], left[q]) >= needed(forest.sizes[row], forest.sizes[q])
+                a, b = name[q[fits]], name[row[fits]]
+                seen.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
+                held += len(a)
+                if held > 500_000:
+                    yield _distinct(seen)
+                    seen, held = [], 0
+            yield _distinct(seen)
 
     old = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.mapInArrow(lean(search), "a long, b long").distinct().join(old, ["a", "b"], "left_anti")
 
 
-def _groups(batches, width: int):
-    """The rows of each (key, part) in turn: `width` arrays and the vectors."""
-    held: list[list] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
-        vectors = batch.column(width).to_pylist()
-        cuts = np.r_[0, np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1, batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            part = [*(c[lo:hi] for c in columns), vectors[lo:hi]]
-            if held and (held[-1][0][0] != part[0][0] or held[-1][1][0] != part[1][0]):
-                yield [*(np.concatenate(c) for c in zip(*(h[:-1] for h in held), strict=True)), [v for h in held for v in h[-1]]]
-                held = []
-            held.append(part)
-    if held:
-        yield [*(np.concatenate(c) for c in zip(*(h[:-1] for h in held), strict=True)), [v for h in held for v in h[-1]]]
+def _distinct(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def _classes(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Staged: each distinct set with its smallest document, and the least and greatest of the other halves of its name."""
+    ends = (F.min("other").alias("other"), F.max("other").alias("last"))
+    return stage(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("vector").alias("vector"), *ends), "classes", n_rows)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -402,8 +460,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents link when their sets of distinct n-grams of lower-cased words have a Jaccard coefficient of at least 0.8; a document
     with fewer words has its whole sequence as one. component_id is the smallest doc_id that links reach.
 
-    Equal sets are one class and never expanded into pairs. Each class is first compared with the smallest of each block that its
-    rarest shingles put it in; then only what lies in different components of one block is searched for by R-trees.
+    Equal sets are one class and never expanded into pairs. Its rarest shingles put each class in blocks, whose R-trees
+    find the sets that their pivots may link with, and then what may link different components.
     Every pair looked at that survives the bounds is verified on the whole sets. Pairs inside a component that links already span are not
     looked at, so components are complete, but links are neither all found nor counted.
 
@@ -411,27 +469,38 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passed over for component_id, which is null only if all of a component's ids are. An empty table gives an empty result. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    summary = _summary(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text"), words)
-    rows = summary.where("slice is null")
-    sketch = _sketch(summary)
-    classes = stage(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("vector").alias("vector")), "classes", summary.count())
-    blocks = _blocks(_entries(docs, sketch, words))
-    # each set with the pivot that it shares the most blocks with
-    stars = blocks.where("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("common"))
-    stars = stars.groupBy("name").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("b")).select(F.col("name").alias("a"), "b")
-    tops = blocks.where("salted").groupBy("key").agg(F.min(F.struct("pos", "n", "name")).alias("top")).select("key", F.col("top.name").alias("b"))
-    over = blocks.where("salted").select("key", F.col("pivot").alias("a")).distinct().join(tops, "key").where("a <> b").select("a", "b")
+    summary = _summary(docs, words)
+    rows, n_rows = summary.where("slice is null"), summary.count()
+    sketch, classes, namer = _sketch(summary), _classes(rows, n_rows), Namer()
+    shared = classes.where("other <> last").select("name", "other").limit(MOST_SHARED + 1).collect()
+    if len(shared) > MOST_SHARED:
+        raise ValueError("too many sets share their names")
+    if shared:
+        namer = Namer({r["name"]: r["other"] for r in shared})
+        keeps = F.broadcast(docs.sparkSession.createDataFrame([(r["name"], r["other"]) for r in shared], "name long, keeps long"))
+        named = rows.join(keeps, "name", "left").withColumn("name", F.when(F.col("keeps") != F.col("other"), F.col("other")).otherwise(F.col("name")))
+        rows = stage(named.select("doc_id", "n", "name", "other", "vector"), "renamed", n_rows)
+        classes = _classes(rows, n_rows)
+    blocks = _blocks(_entries(docs, sketch, namer, words))
     n_classes, n_blocks = classes.count(), blocks.count()
-    first = _bounded(stars.unionAll(over).distinct(), classes, 2 * n_classes)
-    links = _verified(first, docs, classes, words)
+    # each set with the pivot that finds it in the most blocks
+    stars = _found_by_pivots(blocks, classes).groupBy("name").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("b"))
+    stars = stage(stars.select(F.col("name").alias("a"), "b"), "stars", n_classes)
+    tops = blocks.where("salted").groupBy("key").agg(F.min(F.struct("pos", "n", "name")).alias("top")).select("key", F.col("top.name").alias("b"))
+    over = blocks.where("salted").select("key", F.col("pivot").alias("a")).distinct().join(tops, "key").where("a <> b").select("a", "b").distinct()
+    first = stage(stars.unionAll(_bounded(over, classes, n_blocks)).distinct(), "first", 2 * n_classes)
+    links = _verified(first, docs, classes, namer, words)
     joined = components(links, links.count())
-    second = _verified(_bounded(_across(blocks, joined, classes, first, n_blocks), classes, n_blocks), docs, classes, words)
+    across = _bounded(_across(blocks, joined, classes, first, n_blocks), classes, n_blocks)
+    second = _verified(across, docs, classes, namer, words)
     more = second.count()
     final = components(links.unionAll(second), links.count() + more) if more else joined
     member = classes.select("name", "doc_id").join(final.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     member = stage(member, "members", n_classes)
     least = stage(member.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least", n_classes)
     named = stage(member.join(least, "component").select("name", "component_id"), "named", n_classes)
+    for old in (classes, blocks, stars, first, across, links, second, member, least):
+        drop_staged(old)
     out = rows.select("doc_id", "n", "name").join(named, "name", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -442,5 +511,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows without an id are kept; rows that repeat an id are kept or dropped together.
     """
-    gone = ngram_join(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stage(gone, "gone", docs.count()), F.col(id_col) == F.col("_gone"), "left_anti")
+    other = fresh(docs, "gone")
+    gone = ngram_join(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(stage(gone, "gone", docs.count()), F.col(id_col) == F.col(other), "left_anti")

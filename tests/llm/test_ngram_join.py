@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join
 from tessera.llm.components import components
@@ -62,11 +63,37 @@ def test_against_brute_force(spark, monkeypatch):
     _check(spark, list(enumerate(_texts(rng, 250))))
     # small blocks: frequent shingles are salted, blocks are split, hubs have several groups
     monkeypatch.setattr(ngram_join, "BLOCK", 6)
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "SLAB", 9)
     monkeypatch.setattr(ngram_join, "STAR", 3)
+    monkeypatch.setattr(ngram_join, "NAME_BITS", 7)  # sets share the leading halves of their names
     _check(spark, list(enumerate(_texts(rng, 250))))
 
 
+def test_candidates_come_from_the_trees(spark, monkeypatch):
+    """On a real table the trees find candidates and leave others out, and no link is found without them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    served, by_pivots = [], ngram_join._found_by_pivots
+
+    def counted(blocks, classes):
+        found = by_pivots(blocks, classes)
+        served.append((blocks.where("name <> pivot").count(), found.agg(F.sum("common")).first()[0]))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_found_by_pivots", counted)
+    linked = ngram_join.ngram_join(docs).where("component_id <> doc_id").count()
+    assert linked and 0 < served[0][1] <= served[0][0]
+    monkeypatch.setattr(ngram_join, "_found_by_pivots", lambda blocks, classes: by_pivots(blocks, classes).limit(0))
+    monkeypatch.setattr(ngram_join, "_across", lambda blocks, joined, classes, tried, rows: tried.limit(0))
+    equal = ngram_join.ngram_join(docs).where("component_id <> doc_id").count()
+    assert equal < linked  # equal sets are one class without any search
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2), (2, "A b", 1, 2), (3, "c", 1, 2)], "doc_id long, text string, gone int, GONE_ int")
+    left = ngram_join.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (None, "a b"), (None, "x y z q r s"), (7, "a b c d e"), (7, "a b c d e"), (9, "long " * 30_000)]
     _check(spark, rows)
@@ -81,13 +108,15 @@ def test_tree_loses_nothing():
     sets += [np.unique(np.r_[s[: int(len(s) * 0.95)], rng.integers(0, 2**63, 2).astype(np.uint64)]) for s in sets]
     vectors = ngram_join.vectors_of([ngram_join.count_vector(s) for s in sets])
     n = np.array([len(s) for s in sets])
-    tree = ngram_join.CountTree(vectors, n)
-    for i in range(0, len(sets), 7):
-        near = set(tree.search(vectors[i], n[i]).tolist())
-        for j, s in enumerate(sets):
-            both = len(np.intersect1d(sets[i], s))
-            if 100 * both >= 80 * (n[i] + n[j] - both):
-                assert j in near
+    block = np.arange(len(sets)) * 7 // len(sets)
+    forest = ngram_join.CountForest(block, vectors, n)
+    found = {(forest.order[a], forest.order[b]) for q, row in forest.search(np.arange(len(sets))) for a, b in zip(q, row, strict=True)}
+    assert all(block[a] == block[b] for a, b in found) and len(found) < len(sets) ** 2 / 20
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            if block[i] == block[j] and 0.79 < n[i] / n[j] < 1.27:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert 100 * both < 80 * (n[i] + n[j] - both) or (i, j) in found
 
 
 def test_components(spark):
