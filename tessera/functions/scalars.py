@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,10 +33,17 @@ def base16(data: Column) -> Column:
     return F.concat(F.lit("f"), F.lower(F.hex(data)))
 
 
-@F.pandas_udf(StringType())
-def base32(data: pd.Series) -> pd.Series:
+#: The digits of base32 (fixed values of that format).
+_BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
+
+
+def base32(data: Column) -> Column:
     """Multibase b: lower-case base32 without padding."""
-    return data.map(lambda b: None if b is None else "b" + base64.b32encode(b).decode().lower().rstrip("="))
+    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda k: F.lpad(F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 2), 8, F.lit("0"))), "")
+    whole = F.rpad(bits, (F.ceil(F.length(bits) / 5) * 5).cast("int"), F.lit("0"))
+    places = F.sequence(F.lit(0), F.floor(F.length(whole) / 5).cast("int") - 1)
+    digits = F.transform(places, lambda k: F.substring(F.lit(_BASE32), F.conv(F.substring(whole, 5 * k + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
+    return F.when(F.octet_length(data) == 0, "b").otherwise(F.concat(F.lit("b"), F.array_join(digits, "")))
 
 
 def blob_id(hash_hex: Column, size: Column) -> Column:
@@ -54,6 +59,32 @@ def blob_id_size(identifier: Column) -> Column:
     return F.conv(F.concat(*(F.substring(little, 15 - 2 * k, 2) for k in range(8))), 16, 10).cast("long")
 
 
+def blob_id_fields(identifier: Column) -> Column:
+    """struct(hash, size, error) of an identifier in hexadecimal; the first of five errors: length, magic, type, multihash, size."""
+    error = (
+        F.when(identifier.isNull() | (F.length(identifier) < 70) | (F.length(identifier) % 2 != 0), "length")
+        .when(F.substring(identifier, 1, 2) != "5b", "magic")
+        .when(F.substring(identifier, 3, 2) != "82", "type")
+        .when(F.substring(identifier, 5, 2) != "1e", "multihash")
+        .when(F.length(identifier) > 86, "size")
+    )
+    return F.struct(F.when(error.isNull(), F.substring(identifier, 7, 64)).alias("hash"), F.when(error.isNull(), F.coalesce(blob_id_size(identifier), F.lit(0))).alias("size"), error.alias("error"))
+
+
+def multibase_hex(text: Column) -> Column:
+    """Bytes of a multibase string in hexadecimal: f is base16, u base64url, b base32; null for others and for malformed text."""
+    body = F.substring(text, 2, 1 << 20)
+    padded64 = F.rpad(F.translate(body, "-_", "+/"), F.ceil(F.length(body) / 4).cast("int") * 4, F.lit("="))
+    bits = F.array_join(F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.lpad(F.bin(F.instr(F.lit(_BASE32), c) - 1), 5, F.lit("0"))), "")
+    nibbles = F.sequence(F.lit(0), F.floor(F.length(bits) / 8).cast("int") * 2 - 1)
+    plain32 = F.array_join(F.transform(nibbles, lambda k: F.lower(F.conv(F.substring(bits, 4 * k + 1, F.lit(4)), 2, 16))), "")
+    return (
+        F.when(text.rlike("^f([0-9a-f]{2})*$"), body)
+        .when(text.rlike("^u[A-Za-z0-9_-]+$") & (F.length(body) % 4 != 1), F.lower(F.hex(F.unbase64(padded64))))
+        .when(text.rlike("^b[a-z2-7]{2,}$"), plain32)
+    )
+
+
 def padded(length: Column, block: int) -> Column:
     """Length rounded up to whole blocks; blocks of one byte or none leave it as it is."""
     return length.cast("long") if block <= 1 else (F.ceil(length / block) * block).cast("long")
@@ -134,6 +165,112 @@ def stream_key(kind: Column, key_hex: Column, vault_hex: Column) -> Column:
     return F.concat(tag, key_hex, F.when(kind == "vault", F.coalesce(vault_hex, F.lit(""))).otherwise(""))
 
 
+def stream_key_fields(encoded: Column) -> Column:
+    """struct(kind, key, vault, error) of an encoded stream key in hexadecimal: a tag, 32 bytes, and for vaults 16 more."""
+    tag, n = F.substring(encoded, 1, 2), F.length(encoded)
+    kind = F.when(tag == "00", "local").when(tag == "01", "vault").when(tag == "02", "pin")
+    error = F.when(n < 2, "empty").when(kind.isNull(), "tag").when(n != F.when(kind == "vault", 98).otherwise(66), "length")
+    good = error.isNull()
+    return F.struct(F.when(good, kind).alias("kind"), F.when(good, F.substring(encoded, 3, 64)).alias("key"), F.when(good & (kind == "vault"), F.substring(encoded, 67, 32)).alias("vault"), error.alias("error"))
+
+
+def outboard_path(hash_hex: Column) -> Column:
+    """Path of the hash tree that belongs to a blob: as blob_path, below another prefix."""
+    return F.concat(F.lit("obao6/"), F.substring(blob_path(hash_hex), 7, 200))
+
+
+def well_known_id(domain: Column) -> Column:
+    """First 16 bytes of the digest of a public domain string."""
+    return F.substring(F.sha2(domain, 256), 1, 32)
+
+
+def blob_key(context: str, master: Column, hash_hex: Column) -> Column:
+    """Key of one blob: derived from the master secret and its hash, one for each context."""
+    return F.sha2(F.concat(F.lit(context), master, hash_hex), 256)
+
+
+def stored_size(blocks: Column, size: Column, block: int) -> Column:
+    """Bytes that are stored: whole blocks where there are any, else the plain size."""
+    return F.coalesce(blocks * block, size).cast("long")
+
+
+def tombstone(timestamp: Column) -> Column:
+    """Entry of a deleted path: no content, and when it was deleted."""
+    return F.struct(F.lit(None).cast("string").alias("hash"), F.lit(None).cast("long").alias("size"), timestamp.cast("long").alias("timestamp"), F.lit(True).alias("is_tombstone"))
+
+
+def inline_version(content: Column, timestamp: Column) -> Column:
+    """Entry that carries its content: its bytes in hexadecimal, their number and its time."""
+    data = content.cast("binary")
+    return F.struct(F.hex(data).alias("inline"), F.sha2(data, 256).alias("hash"), F.octet_length(data).cast("long").alias("size"), timestamp.cast("long").alias("timestamp"), F.lit(False).alias("is_tombstone"))
+
+
+def pack_count(header: Column) -> Column:
+    """struct(count, error) from the fixed part of a pack header in hexadecimal."""
+    error = F.when(F.length(header) < 20, "short").when(~F.startswith(header, F.lit("545350414b")), "magic").when(F.substring(header, 11, 2) != "01", "version")
+    return F.struct(F.when(error.isNull(), F.conv(F.substring(header, 13, 8), 16, 10).cast("long")).alias("count"), error.alias("error"))
+
+
+def pack_cache(pack_hash: Column, members: Column, end: Column) -> Column:
+    """Cached header of a pack in hexadecimal: its hash, the number of members, 12-byte keys with offsets, the end."""
+    row = lambda m: F.concat(F.substring(m["key"], 1, 24), F.lpad(F.hex(m["offset"].cast("long")), 16, F.lit("0")))
+    whole = F.concat(pack_hash, F.lpad(F.hex(F.size(members).cast("long")), 8, "0"), F.array_join(F.transform(members, row), ""), F.lpad(F.hex(end.cast("long")), 16, "0"))
+    return F.lower(whole)
+
+
+def pack_cache_fields(text: Column) -> Column:
+    """struct(pack_hash, members, end_offset, error) of a cached header."""
+    count = F.conv(F.substring(text, 65, 8), 16, 10).cast("int")
+    error = F.when(F.length(text) < 72, "short").when(F.length(text) != 88 + 40 * count, "length")
+    one = lambda k: F.struct(F.substring(text, 73 + 40 * k, F.lit(24)).alias("key"), F.conv(F.substring(text, 97 + 40 * k, F.lit(16)), 16, 10).cast("long").alias("offset"))
+    members = F.when(count == 0, F.array().cast("array<struct<key:string,offset:bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), one))
+    good = error.isNull()
+    return F.struct(
+        F.when(good, F.substring(text, 1, 64)).alias("pack_hash"),
+        F.when(good, members).alias("members"),
+        F.when(good, F.conv(F.substring(text, F.length(text) - 15, F.lit(16)), 16, 10).cast("long")).alias("end_offset"),
+        error.alias("error"),
+    )
+
+
+def zstd_compressed(level: int = 3, dictionary: bytes | None = None):
+    """A column function: one zstd frame of a level, with a dictionary or without."""
+
+    @F.pandas_udf(BinaryType())
+    def run(data: pd.Series) -> pd.Series:
+        import zstandard
+
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        pack = zstandard.ZstdCompressor(level=level, dict_data=known).compress
+        return data.map(lambda b: None if b is None else pack(b))
+
+    return run
+
+
+def zstd_decompressed(dictionary: bytes | None = None):
+    """A column function: the content of one zstd frame that was written with the same dictionary."""
+
+    @F.pandas_udf(BinaryType())
+    def run(data: pd.Series) -> pd.Series:
+        import zstandard
+
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        unpack = zstandard.ZstdDecompressor(dict_data=known).decompressobj
+        return data.map(lambda b: None if b is None else unpack().decompress(b))
+
+    return run
+
+
+def zstd_dictionary(samples: list[bytes], size: int = 112_640) -> bytes:
+    """A dictionary trained on samples, a bounded number of rows; empty where there are too few to learn from."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 10)), samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 @F.pandas_udf(BinaryType())
 def compressed(data: pd.Series) -> pd.Series:
     """One zstd frame at level 1."""

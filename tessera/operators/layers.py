@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import staged
+
 
 def _sides(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Full outer join on key; presence is told by the flags in_base and in_change, since a live entry may be all null."""
@@ -107,22 +109,68 @@ def leaves(entries: DataFrame, fanout: int = 64) -> DataFrame:
     return rows.join(rows.groupBy("leaf_id").agg(content.alias("leaf_hash")), "leaf_id")
 
 
+def floor_lookup(first_keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each asked key with the leaf that has the greatest first key not above it; null below the first leaf.
+
+    first_keys is the index of a tree, (first_key, leaf_id). Both sides are dealt out by ranges of keys and sorted there; a range that starts with
+    no leaf of its own takes over the last one before it, of which there is a row for each range.
+    """
+    marks = first_keys.select(F.col("first_key").alias("key"), "leaf_id", F.lit(0).alias("side"))
+    kind = dict(first_keys.dtypes)["leaf_id"]
+    both = marks.unionByName(asked.select("key", F.lit(None).cast(kind).alias("leaf_id"), F.lit(1).alias("side")))
+    ranged = staged(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "ranges")
+    within = F.last("leaf_id", ignorenulls=True).over(Window.partitionBy("part").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranged.groupBy("part").agg(F.max_by("leaf_id", F.when(F.col("side") == 0, F.col("key"))).alias("last_leaf"))
+    before = F.last("last_leaf", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.broadcast(ends.select("part", before.alias("before")))
+    return ranged.withColumn("own", within).join(carried, "part").where("side = 1").select("key", F.coalesce("own", "before").alias("leaf_id"))
+
+
 def affected_leaves(first_keys: DataFrame, changes: DataFrame) -> DataFrame:
-    """Leaves that changes fall into: for each changed key the leaf with the greatest first key not above it.
+    """Leaves that changes fall into, with their number: for each changed key the leaf with the greatest first key not above it."""
+    return floor_lookup(first_keys, changes).where("leaf_id is not null").groupBy("leaf_id").agg(F.count("*").alias("changes"))
+
+
+def get_raw(layers: list[DataFrame], keys: DataFrame) -> DataFrame:
+    """Point reads that show tombstones: the entry of the highest layer that has the key."""
+    return merged_view([layer.join(keys, "key", "left_semi") for layer in layers])
+
 
-    first_keys is the index of the tree, one row a leaf; both sides meet in buckets of their first character, and a bucket that
-    starts with no leaf of its own takes over the last one before it, so no pair of tables is compared whole.
+def range_in_leaves(entries: DataFrame, first_keys: DataFrame, start: str, end: str) -> DataFrame:
+    """Entries of [start, end): only leaves whose keys may lie in it are read.
+
+    entries: (key, ..., leaf_id); first_keys: (first_key, last_key, leaf_id).
+    """
+    met = first_keys.where((F.col("first_key") < end) & (F.col("last_key") >= start)).select("leaf_id")
+    return entries.join(met, "leaf_id", "left_semi").where((F.col("key") >= start) & (F.col("key") < end))
+
+
+def tree_levels(entries: DataFrame, bits_zero: int = 1, most: int = 16) -> DataFrame:
+    """(level, first_key, children, entries, size): a tree cut by content, one row a node, from the leaves to one root.
+
+    A node of level n begins at the first key and at every key whose digest ends with (n + 1) * bits_zero hexadecimal zeros, so that
+    a change moves only the borders next to it. Each level is one floor lookup over the level below.
     """
-    marks = first_keys.select(F.col("first_key").alias("key"), F.col("leaf_id"), F.lit(0).alias("side"))
-    both = marks.unionByName(changes.select("key", F.lit(None).cast("long").alias("leaf_id"), F.lit(1).alias("side")))
-    both = both.withColumn("bucket", F.substring("key", 1, 2))
-    within = F.last("leaf_id", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, 0))
-    ends = both.where("side = 0").groupBy("bucket").agg(F.max_by("leaf_id", "key").alias("last_leaf"))
-    buckets = both.select("bucket").distinct().join(ends, "bucket", "left")
-    before = F.last("last_leaf", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    carried = buckets.select("bucket", before.alias("before"))  # at most a row for each two-character prefix
-    found = both.withColumn("own", within).join(carried, "bucket").where("side = 1")
-    return found.select(F.coalesce("own", "before").alias("leaf_id")).where("leaf_id is not null").groupBy("leaf_id").agg(F.count("*").alias("changes"))
+    digest = F.sha2("key", 256)
+    below = staged(entries.select("key", F.lit(1).cast("long").alias("entries"), F.col("size").cast("long").alias("size")), "level")
+    out, first = None, below.agg(F.min("key")).first()[0]
+    for level in range(most):
+        marks = below.where(F.endswith(digest, F.lit("0" * bits_zero * (level + 1))) | (F.col("key") == first)).select(F.col("key").alias("first_key"), F.col("key").alias("leaf_id"))
+        found = floor_lookup(marks, below.select("key")).withColumnRenamed("leaf_id", "first_key")
+        nodes = below.join(found, "key").groupBy("first_key").agg(F.count("*").alias("children"), F.sum("entries").alias("entries"), F.sum("size").alias("size"))
+        nodes = staged(nodes.select(F.lit(level).cast("long").alias("level"), "first_key", "children", "entries", "size"), "level")
+        out = nodes if out is None else out.unionByName(nodes)
+        below = nodes.select(F.col("first_key").alias("key"), "entries", "size")
+        if nodes.limit(2).count() < 2:
+            break
+    return out
+
+
+def sharded_lww(local: DataFrame, remote: DataFrame, shards: int) -> DataFrame:
+    """lww_merge within shards: both sides are dealt out by the digest of their names, so each shard is merged by itself."""
+    shard = F.pmod(F.conv(F.substring(F.sha2("name", 256), 1, 4), 16, 10).cast("long"), F.lit(shards))
+    place = F.pmod(F.conv(F.substring(F.sha2("name", 256), 1, 4), 16, 10).cast("long"), F.lit(shards)).alias("shard")
+    return lww_merge(local.repartition(shard), remote.repartition(shard)).select(place, "name", "hash", "ts", "side")
 
 
 def reroot(entries: DataFrame, source: str, target: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, snapshot_queries, stream_queries, vault_queries
+from . import data_queries, file_queries, snapshot_queries, store_queries, stream_queries, vault_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (snapshot_queries, data_queries, vault_queries, stream_queries)
+_PARTS = (snapshot_queries, data_queries, vault_queries, stream_queries, store_queries, file_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -46,13 +46,13 @@ def stream_latest(spark, sf):
     """Latest value of each key, kept by a streaming aggregate."""
     e = streams.stream_of(spark, f"{sf}/events.parquet")
     log = e.select(F.col("user_id").alias("stream_key"), F.floor("value").cast("long").alias("revision"), F.sha2("props", 256).alias("hash"))
-    return streams.finished(streams.latest(log), "complete")
+    return streams.finished(streams.latest(log), "update", ("stream_key",))
 
 
 @query(_TUMBLE)
 def stream_tumble_2s(spark, sf):
     e = streams.stream_of(spark, f"{sf}/events.parquet").select("ts", F.col("user_id").alias("source"), F.col("event_type").alias("path"))
-    return streams.finished(streams.tumbled(e, 2), "complete")
+    return streams.finished(streams.tumbled(e, 2), "update", ("source", "start_s"))
 
 
 @query(_SESSIONS)

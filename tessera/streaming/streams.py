@@ -15,20 +15,30 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
+def handed(stream: DataFrame, hook, mode: str = "append") -> None:
+    """Run the stream over what is there and hand each micro-batch with its number to a hook; a batch may come again after a failure."""
+    root = shared_folder(stream.sparkSession)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(hook).start().awaitTermination()
+
+
+def finished(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Run the stream over what is there and return its table.
 
-    Each micro-batch is written by the executors to the shared folder: in complete mode it replaces the table, in append mode it is
-    added under its own number, so a batch that is run again writes the same files.
+    Each micro-batch is written by the executors to the shared folder: in complete mode it replaces the table, else it is
+    added under its own number, so a batch that is run again writes the same files. In update mode a batch has only what has changed, state that the
+    watermark has passed is forgotten, and the table is the last row of each of the keys.
     """
     spark, root = stream.sparkSession, shared_folder(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/table/batch={0 if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/table/batch=*")
+    handed(stream, write, mode)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{root}/table/batch=*")
+    rows = spark.read.option("basePath", f"{root}/table").parquet(f"{root}/table/batch=*")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*(F.col(c) if c in keys else F.col(f"r.{c}") for c in stream.columns))
 
 
 def latest(messages: DataFrame) -> DataFrame:
