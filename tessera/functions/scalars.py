@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def content_hash(data: Column) -> Column:
     """Lower-case hexadecimal SHA-256, which stands in for the store's own hash; both order by bytes."""
     return F.sha2(data, 256)
@@ -40,10 +45,9 @@ _BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 def base32(data: Column) -> Column:
     """Multibase b: lower-case base32 without padding."""
     bits = F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda k: F.lpad(F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 2), 8, F.lit("0"))), "")
-    whole = F.rpad(bits, (F.ceil(F.length(bits) / 5) * 5).cast("int"), F.lit("0"))
-    places = F.sequence(F.lit(0), F.floor(F.length(whole) / 5).cast("int") - 1)
-    digits = F.transform(places, lambda k: F.substring(F.lit(_BASE32), F.conv(F.substring(whole, 5 * k + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(F.octet_length(data) == 0, "b").otherwise(F.concat(F.lit("b"), F.array_join(digits, "")))
+    digit = lambda b, k: F.substring(F.lit(_BASE32), F.conv(F.rpad(F.substring(b, 5 * k + 1, F.lit(5)), 5, F.lit("0")), 2, 10).cast("int") + 1, F.lit(1))
+    digits = _once(bits, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.length(b) / 5).cast("int") - 1), lambda k: digit(b, k)), ""))
+    return F.when(F.octet_length(data) == 0, "b").otherwise(F.concat(F.lit("b"), digits))
 
 
 def blob_id(hash_hex: Column, size: Column) -> Column:
@@ -61,6 +65,10 @@ def blob_id_size(identifier: Column) -> Column:
 
 def blob_id_fields(identifier: Column) -> Column:
     """struct(hash, size, error) of an identifier in hexadecimal; the first of five errors: length, magic, type, multihash, size."""
+    return _once(identifier, _blob_id_fields)
+
+
+def _blob_id_fields(identifier: Column) -> Column:
     error = (
         F.when(identifier.isNull() | (F.length(identifier) < 70) | (F.length(identifier) % 2 != 0), "length")
         .when(F.substring(identifier, 1, 2) != "5b", "magic")
@@ -75,9 +83,9 @@ def multibase_hex(text: Column) -> Column:
     """Bytes of a multibase string in hexadecimal: f is base16, u base64url, b base32; null for others and for malformed text."""
     body = F.substring(text, 2, 1 << 20)
     padded64 = F.rpad(F.translate(body, "-_", "+/"), F.ceil(F.length(body) / 4).cast("int") * 4, F.lit("="))
-    bits = F.array_join(F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.lpad(F.bin(F.instr(F.lit(_BASE32), c) - 1), 5, F.lit("0"))), "")
-    nibbles = F.sequence(F.lit(0), F.floor(F.length(bits) / 8).cast("int") * 2 - 1)
-    plain32 = F.array_join(F.transform(nibbles, lambda k: F.lower(F.conv(F.substring(bits, 4 * k + 1, F.lit(4)), 2, 16))), "")
+    bits = F.array_join(F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.lpad(F.bin((F.instr(F.lit(_BASE32), c) - 1).cast("long")), 5, F.lit("0"))), "")
+    nibbles = lambda b: F.sequence(F.lit(0), F.floor(F.length(b) / 8).cast("int") * 2 - 1)
+    plain32 = _once(bits, lambda b: F.array_join(F.transform(nibbles(b), lambda k: F.lower(F.conv(F.substring(b, 4 * k + 1, F.lit(4)), 2, 16))), ""))
     return (
         F.when(text.rlike("^f([0-9a-f]{2})*$"), body)
         .when(text.rlike("^u[A-Za-z0-9_-]+$") & (F.length(body) % 4 != 1), F.lower(F.hex(F.unbase64(padded64))))
