@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_BYTES, SHORT, Merges, byte_symbols
+from .bpe import SHORT, Merges, byte_symbols
 from .shared import TEXTS, lean
 
 #: How a byte-level vocabulary file splits text into pieces (fixed values of that format).
@@ -22,8 +22,8 @@ _CUT_CONTRACTIONS = ("'re", "'ve", "'ll")
 _WIDE = regex.compile(r"\s{2,}(?=\S)")
 LIMIT = 512
 BUDGETS = (128, 512, 2048)
-#: Pairs of tokens that a task remembers before it begins anew.
-PAIRS = 200_000
+#: Pairs of tokens that a worker remembers before it begins anew, and bytes of remembered pieces, about; that bounds its memory.
+PAIRS, KNOWN_BYTES = 1_000_000, 112 << 20
 
 
 class _Known(dict):
@@ -36,11 +36,12 @@ class _Known(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self._steps(piece)
         if len(piece) <= SHORT:
-            if self._held >= CACHE_BYTES:
-                self.clear()
-                self._held = 0
+            if self._held >= KNOWN_BYTES:  # forget the older half
+                for old in [p for p, _ in zip(self, range(len(self) // 2), strict=False)]:
+                    del self[old]
+                self._held //= 2
             self[piece] = found
-            self._held += 200 + 5 * len(piece)
+            self._held += 220 + 2 * len(piece)
         return found
 
 
@@ -118,6 +119,8 @@ class PrefixCounter:
             counts = self.prefixes(data)
             if len(data) > len(piece):
                 counts = [c for i, c in enumerate(counts) if i == len(data) or data[i] & 0xC0 != 0x80]
+        if len(counts) < 128:  # no step can be larger than the count
+            return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
         return _narrow(np.diff(np.array(counts, np.int32)), piece)
 
     def _parts(self, text: str) -> list[tuple[int, int, bool, list[str]]]:
@@ -189,6 +192,17 @@ def longest_within(counts: np.ndarray, budgets: Iterable[int]) -> list[int]:
     return out
 
 
+_COUNTERS: dict[str, PrefixCounter] = {}
+
+
+def counter(path: str) -> PrefixCounter:
+    """The counter of the file that a worker uses last: what it remembers serves later tasks too."""
+    if path not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[path] = PrefixCounter(path)
+    return _COUNTERS[path]
+
+
 _INDEX = "doc_id long, n_bytes long, n_chars long, n_tokens long, index binary"
 
 
@@ -200,7 +214,7 @@ def prefix_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches):
-        dp = PrefixCounter(path)  # lives as long as the task
+        dp = counter(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = [dp.index(t) for t in texts]
