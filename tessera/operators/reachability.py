@@ -7,25 +7,30 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.staging import shared_folder
+from tessera.sources.staging import staged
+
+
+#: Rounds whose tables are read side by side before they are written as one.
+ROUNDS_APART = 16
 
 
 def closure(roots: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Distinct nodes that the roots reach over edges (parent, child), the roots included.
 
-    The frontier grows round by round: each joins the edges once and drops what was seen before. Rounds are checkpointed in the shared folder
-    (spark.checkpoint.dir), so the plan stays short and a lost executor costs one round. They end when the frontier is empty; a graph deeper
-    than `rounds`, if given, is an error.
+    The frontier grows round by round: each joins the edges once and drops what was seen before. A round's new nodes are written to the shared
+    folder (spark.checkpoint.dir), so the plan stays short and a lost executor costs one round; what was seen is their union, which is written anew
+    only every ROUNDS_APART rounds. They end when the frontier is empty; a graph deeper than `rounds`, if given, is an error.
     """
-    shared_folder(roots.sparkSession)  # sets a folder where the session names none
-    seen = roots.select("node").distinct().checkpoint()
-    frontier = seen
+    frontier = staged(roots.select("node").distinct(), "round")
+    seen, parts = frontier, 1
     for _ in itertools.count() if rounds is None else range(rounds):
         step = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").checkpoint()
+        frontier = staged(step.join(seen, "node", "left_anti"), "round")
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen, parts = seen.unionByName(frontier), parts + 1
+        if parts == ROUNDS_APART:
+            seen, parts = staged(seen, "seen"), 1
     raise ValueError(f"the graph is deeper than {rounds} rounds")
 
 
