@@ -48,13 +48,35 @@ def url_key(url: Column) -> Column:
     return F.concat(part(1), F.lit("/"), part(2), F.when(part(3) == "", "/").otherwise(part(3)))
 
 
+#: The value of an anchor's href, whatever its case, quotes and place among the attributes.
+HREF = r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, link): distinct targets of a page's anchors; queries, fragments and relative dots are left out."""
-    found = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))
-    rows = pages.select("page_id", F.explode(found).alias("link"))
+    found = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
+    rows = pages.select("page_id", F.explode(found).alias("link")).withColumn("link", F.regexp_replace("link", """^["']|["']$""", ""))
     return rows.where(~F.substring("link", 1, 1).isin("?", "#", ".") & (F.col("link") != "")).distinct()
 
 
+def linked_pages(pages: DataFrame, root: Column) -> DataFrame:
+    """(page_id, target): a page's links joined to its URL, below root (a prefix of URLs, of each page) and other than the page itself.
+
+    pages: (page_id, url, html). A link is a URL, or a path from the host on (two slashes: from the scheme on), or one from the page's folder on.
+    """
+    part = lambda n: F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)([^?#]*)", n)
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(part(3), "^/", ""), "[^/]*$", ""))
+    link = F.col("link")
+    target = (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(part(1), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(part(1), part(2), link))
+        .otherwise(F.concat(part(1), part(2), folder, link))
+    )
+    found = page_links(pages).join(pages.select("page_id", "url", root.alias("root")), "page_id").withColumn("target", target)
+    return found.where(F.startswith("target", "root") & (F.col("target") != F.col("url"))).select("page_id", "target").distinct()
+
+
 def http_state(headers: DataFrame, state: DataFrame) -> DataFrame:
     """Which pages to fetch again: unknown ones, and those whose length or time has changed."""
     old = state.select("url", F.struct("length", "modified").alias("s"))

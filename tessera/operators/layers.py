@@ -101,9 +101,21 @@ def leaf_diff(changed: DataFrame, base: DataFrame) -> DataFrame:
     return changed.join(base.select("leaf_hash").distinct(), "leaf_hash", "left_anti")
 
 
-def leaves(entries: DataFrame, fanout: int = 64) -> DataFrame:
-    """Entries with the id and the hash of their leaf. A leaf holds the keys of one hash bucket, so both sides cut alike."""
-    bucket = F.conv(F.substring(F.sha2("key", 256), 1, 4), 16, 10).cast("long") % fanout
+#: Entries that a leaf holds on average, and the fewest leaves.
+LEAF, LEAST_LEAVES = 256, 64
+
+
+def leaf_count(*sides: DataFrame) -> int:
+    """Leaves for the larger of the sides: a power of two, so that a leaf has at most LEAF entries on average."""
+    most, found = max(side.count() for side in sides), LEAST_LEAVES
+    while found * LEAF < most:
+        found *= 2
+    return found
+
+
+def leaves(entries: DataFrame, fanout: int) -> DataFrame:
+    """Entries with the id and the hash of their leaf. A leaf holds the keys of one hash bucket, so sides with the same fanout cut alike."""
+    bucket = F.conv(F.substring(F.sha2("key", 256), 1, 15), 16, 10).cast("long") % fanout
     rows = entries.withColumn("leaf_id", bucket)
     content = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "hash"))), lambda e: F.concat(e["key"], F.lit("="), e["hash"])), "\n"), 256)
     return rows.join(rows.groupBy("leaf_id").agg(content.alias("leaf_hash")), "leaf_id")

@@ -40,10 +40,27 @@ def build_tree(entries: DataFrame, fanout: int, leaves: int) -> DataFrame:
     return out
 
 
+#: Hexadecimal digits of a key's digest that a level of a hash tree consumes: 256 children a node.
+DIGITS, CHILDREN = 2, 256
+
+
 def root_hashes(entries: DataFrame, tree: str) -> DataFrame:
-    """Hash of each tree over its entries in order of key."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "hash"))), lambda e: F.concat(e["key"], F.lit("="), e["hash"])), "\n")
-    return entries.groupBy(tree).agg(F.sha2(lines, 256).alias("root"))
+    """Hash of each tree, rolled up from leaves that hold the keys of one range of digests.
+
+    The largest tree sets the number of levels, so that a leaf has about CHILDREN entries and a node that many children at most: no tree is
+    gathered in one row. Trees are equal exactly if their entries are, as long as both are hashed in one call or have as many levels.
+    """
+    most = entries.groupBy(tree).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = 1
+    while CHILDREN ** (levels + 1) < most:
+        levels += 1
+    now = entries.select(F.col(tree).alias("tree"), F.substring(F.sha2("key", 256), 1, DIGITS * levels).alias("place"), "key", "hash")
+    for level in range(levels, -1, -1):
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "hash"))), lambda e: F.concat(e["key"], F.lit("="), e["hash"])), "\n")
+        now = now.groupBy("tree", "place").agg(F.sha2(lines, 256).alias("hash"))
+        if level:
+            now = now.select("tree", F.expr(f"substring(place, 1, {DIGITS * (level - 1)})").alias("place"), F.col("place").alias("key"), "hash")
+    return now.select(F.col("tree").alias(tree), F.col("hash").alias("root"))
 
 
 def restore_plan(entries: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ from . import fixtures as fx
 QUERIES, ORACLES = {}, {}
 
 
+def _sql(v):
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -177,17 +181,10 @@ def pack_member_length(spark, sf):
     return packing.lengths(laid.drop("length"), ends)
 
 
-@query(f"""WITH {fx.MEMBERS}, ix AS (SELECT * FROM laid WHERE pack <> 'en-src1') SELECT f.key, i.pack, i."offset", CASE WHEN i.key IS NOT NULL THEN 'hit' ELSE 'unknown' END AS outcome
-    FROM files f LEFT JOIN ix i USING (key) WHERE doc_id % 3 = 0""")
-def pack_locate_tristate(spark, sf):
-    index = packing.layout(fx.members(spark, sf)).where("pack <> 'en-src1'")
-    return packing.locate(fx.files(spark, sf).where("doc_id % 3 = 0").select("key"), index, unread=1)
-
-
 @query(f"""WITH {fx.MEMBERS}, ix AS (SELECT * FROM laid WHERE pack <> 'en-src1'), asked AS (SELECT key FROM files UNION ALL SELECT 'absent/' || key FROM files WHERE doc_id % 100 = 0)
     SELECT a.key, i.pack, i."offset", CASE WHEN i.key IS NOT NULL THEN 'hit' ELSE 'unknown' END AS outcome FROM asked a LEFT JOIN ix i USING (key)""")
-def pack_locate_all(spark, sf):
-    """Every document located, and some absent keys; pack_locate_tristate asks for every third document."""
+def pack_locate_tristate(spark, sf):
+    """Every document located, and some absent keys."""
     f = fx.files(spark, sf)
     absent = f.where("doc_id % 100 = 0").select(F.concat(F.lit("absent/"), "key").alias("key"))
     return packing.locate(f.select("key").unionAll(absent), packing.layout(fx.members(spark, sf)).where("pack <> 'en-src1'"), unread=1)
@@ -217,13 +214,25 @@ def multi_source_fetch(spark, sf):
     return packing.fetch(f.select("key"), [f.where("doc_id % 2 = 0"), f.where("doc_id % 3 = 0")], [False, True])
 
 
-@query()
+_ADMITS = """x = 0 OR NOT (x + length > 65536 AND (x >= 65536 OR length > 16384 - x % 16384)) AND (x + length <= 65536 AND (ceil(x / 16384.0) * 16384 - x) / (ceil(x / 16384.0) * 16384) >= 0.1 OR length <= 16384 - x % 16384
+        OR (ceil((x + length) / 16384.0) * 16384 - x - length) / (ceil((x + length) / 16384.0) * 16384) < (ceil(x / 16384.0) * 16384 - x) / (ceil(x / 16384.0) * 16384))"""
+
+
+@query(f"""WITH RECURSIVE {fx.FILES}, blobs AS (SELECT lang || '-' || source AS batch, key AS path, size AS length, row_number() OVER (PARTITION BY lang, source ORDER BY key) AS n FROM files),
+    r AS (SELECT batch, path, length, n, CAST(0 AS BIGINT) AS pack, [length] AS sizes FROM blobs WHERE n = 1
+        UNION ALL SELECT batch, path, length, n, CAST(place - 1 AS BIGINT), list_transform(sizes, lambda x, i: CASE WHEN i = place THEN x + length ELSE x END)
+        FROM (SELECT b.batch, b.path, b.length, b.n, list_append(r.sizes, 0) AS sizes, list_position(list_transform(list_append(r.sizes, 0), lambda x: ({_ADMITS.replace('length', 'b.length')})), true) AS place
+            FROM r JOIN blobs b ON b.batch = r.batch AND b.n = r.n + 1))
+    SELECT batch, path, length, pack FROM r""")
 def first_fit_packs(spark, sf):
     f = fx.files(spark, sf)
     return sequential.first_fit(f.select(F.concat_ws("-", "lang", "source").alias("batch"), F.col("key").alias("path"), F.col("size").alias("length")), 16_384, 65_536, 0.1)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.FILES}, e AS (SELECT lang || '/' || source AS tree, key, ('0x' || sha256(key)[1:2])::BIGINT & 3 = 0 AS ends, row_number() OVER (PARTITION BY lang, source ORDER BY key) AS n FROM files),
+    r AS (SELECT tree, key, n, ends, CAST(0 AS BIGINT) AS group_id, 1 AS held FROM e WHERE n = 1
+        UNION ALL SELECT e.tree, e.key, e.n, e.ends, r.group_id + CAST(r.ends AND r.held >= 4 AS BIGINT), CASE WHEN r.ends AND r.held >= 4 THEN 1 ELSE r.held + 1 END FROM r JOIN e ON e.tree = r.tree AND e.n = r.n + 1)
+    SELECT tree, key, group_id FROM r""")
 def boundary_groups_min4(spark, sf):
     return sequential.boundary_groups(fx.files(spark, sf).select(F.concat_ws("/", "lang", "source").alias("tree"), "key"), mask=3)
 
@@ -238,26 +247,15 @@ def shard_buckets(spark, sf):
     return sequential.shard_buckets(fx.files(spark, sf).select(F.col("key").alias("name")))
 
 
-@query(f"""WITH {fx.LAYERS}, h AS (SELECT key, ('0x' || sha256(key)[1:8])::BIGINT & 3 = 0 AS b, row_number() OVER w AS n FROM base WHERE key < 'c2' WINDOW w AS (ORDER BY key))
-    SELECT key, CAST(coalesce(sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY split_part(key, '/', 1) ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_id FROM h""")
-def boundary_groups_min1(spark, sf):
-    """The groups of the keys below 'c2' only, as its SQL has them; boundary_groups_min1_all has those of all keys."""
-    return _min1_groups(fx.base(spark, sf).where("key < 'c2'"))
-
-
 @query(f"""WITH {fx.LAYERS}, h AS (SELECT key, ('0x' || sha256(key)[1:8])::BIGINT & 3 = 0 AS b FROM base)
     SELECT key, CAST(coalesce(sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY split_part(key, '/', 1) ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_id FROM h""")
-def boundary_groups_min1_all(spark, sf):
+def boundary_groups_min1(spark, sf):
     """Groups that end at each boundary key, within each directory, for every key of base."""
-    return _min1_groups(fx.base(spark, sf))
-
-
-def _min1_groups(rows):
     from pyspark.sql import Window
 
     flag = F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(3)) == 0
     order = Window.partitionBy(F.split_part("key", F.lit("/"), F.lit(1))).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("key", F.coalesce(F.sum(F.when(flag, 1).otherwise(0)).over(order), F.lit(0)).cast("long").alias("group_id"))
+    return fx.base(spark, sf).select("key", F.coalesce(F.sum(F.when(flag, 1).otherwise(0)).over(order), F.lit(0)).cast("long").alias("group_id"))
 
 
 # membership
@@ -382,11 +380,25 @@ def url_key(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", ingest.url_key(F.col("url")).alias("key"))
 
 
-@query("""SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages) WHERE link <> '' AND substr(link, 1, 1) NOT IN ('?', '#', '.')""")
+_LINKS = f"""links AS (SELECT DISTINCT page_id, url, link FROM (SELECT page_id, url, regexp_replace(link, '^["'']|["'']$', '', 'g') AS link
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {_sql(ingest.HREF)}, 1)) AS link FROM pages)) WHERE link <> '' AND substr(link, 1, 1) NOT IN ('?', '#', '.'))"""
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT page_id, link FROM links")
 def page_links(spark, sf):
     return ingest.page_links(fx.table(spark, sf, "pages"))
 
 
+@query(rf"""WITH {_LINKS}, u AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)', 0) AS host, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) AS scheme,
+        regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)([^?#]*)', 3) AS path FROM links),
+    t AS (SELECT page_id, url, host, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN scheme || link WHEN starts_with(link, '/') THEN host || link
+        ELSE host || '/' || regexp_replace(regexp_replace(path, '^/', ''), '[^/]*$', '') || link END AS target FROM u)
+    SELECT DISTINCT page_id, target FROM t WHERE starts_with(target, host || '/') AND target <> url""")
+def linked_pages(spark, sf):
+    """The pages of its own host that each page links to."""
+    return ingest.linked_pages(fx.table(spark, sf, "pages"), F.concat(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0), F.lit("/")))
+
+
 @query("""SELECT url, CASE WHEN page_id % 5 = 0 THEN 'new' WHEN page_id % 3 = 0 OR page_id % 7 = 0 THEN 'changed' ELSE 'same' END AS action FROM pages""")
 def http_refetch(spark, sf):
     p = fx.table(spark, sf, "pages")
@@ -442,10 +454,6 @@ _REFS = [("photos:", "vault", "photos", None, None), ("photos:a/b#2", "vault", "
          ("./x:y", "local", None, "./x:y", None), ("C:\\dir", "local", None, "C:\\dir", None), ("/a#b", "local", None, "/a#b", None), ("plain#name", "local", None, "plain#name", None), ("Bad Name:x", "invalid", None, None, None), ("x:y", "local", None, "x:y", None)]
 
 
-def _sql(v):
-    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-
-
 @query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _REFS) + ") AS t(ref, kind, name, path, snap)")
 def ref_parse(spark, sf):
     return spark.createDataFrame([(r[0],) for r in _REFS], "ref string").select("ref", scalars.reference(F.col("ref")).alias("r")).select("ref", "r.*")

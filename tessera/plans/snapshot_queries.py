@@ -95,15 +95,10 @@ def mergek_priority(spark, sf):
     return layers.merged_view(_three(spark, sf))
 
 
-@query(f"WITH {fx.LAYERS}, {_THREE} SELECT key, hash, size, priority FROM won WHERE NOT is_tombstone AND key IN (SELECT key FROM base WHERE o_orderkey % 4 = 1)")
-def layered_point_get(spark, sf):
-    return layers.get_live(_three(spark, sf), fx.base(spark, sf).where("o_orderkey % 4 = 1").select("key"))
-
-
 @query(f"""WITH {fx.LAYERS}, {_THREE}, asked AS (SELECT key FROM base UNION SELECT key FROM changes UNION SELECT 'absent/' || key FROM base WHERE o_orderkey % 100 = 0)
     SELECT key, hash, size, priority FROM won WHERE NOT is_tombstone AND key IN (SELECT key FROM asked)""")
-def layered_point_get_all(spark, sf):
-    """Every key of the layers asked for, and some absent ones; layered_point_get asks for every fourth order."""
+def layered_point_get(spark, sf):
+    """Every key of the layers asked for, and some absent ones."""
     b = fx.base(spark, sf)
     absent = b.where("o_orderkey % 100 = 0").select(F.concat(F.lit("absent/"), "key").alias("key"))
     return layers.get_live(_three(spark, sf), b.select("key").union(fx.changes(spark, sf).select("key")).union(absent).distinct())
@@ -144,7 +139,7 @@ def lww_kind_conflict(spark, sf):
     return layers.lww_kinds(*_lww(spark, sf))
 
 
-_LEAVES = """cut AS (SELECT key, hash, CAST(('0x' || sha256(key)[1:4]) AS BIGINT) % 64 AS leaf_id, o_orderkey FROM base),
+_LEAVES = """cut AS (SELECT key, hash, CAST(('0x' || sha256(key)[1:15]) AS BIGINT) % (SELECT CAST(greatest(64, pow(2, ceil(log2(count(*) / 256.0)))) AS BIGINT) FROM base) AS leaf_id, o_orderkey FROM base),
 bl AS (SELECT leaf_id, sha256(string_agg(key || '=' || hash, chr(10) ORDER BY key)) AS leaf_hash FROM cut GROUP BY leaf_id),
 upd AS (SELECT key, CASE WHEN o_orderkey % 997 = 3 THEN sha256('u' || hash) ELSE hash END AS hash, leaf_id FROM cut),
 ul AS (SELECT leaf_id, sha256(string_agg(key || '=' || hash, chr(10) ORDER BY key)) AS leaf_hash FROM upd GROUP BY leaf_id)"""
@@ -153,7 +148,8 @@ ul AS (SELECT leaf_id, sha256(string_agg(key || '=' || hash, chr(10) ORDER BY ke
 def _updated(spark, sf):
     b = fx.base(spark, sf)
     changed = b.withColumn("hash", F.when(F.col("o_orderkey") % 997 == 3, F.sha2(F.concat(F.lit("u"), "hash"), 256)).otherwise(F.col("hash")))
-    return layers.leaves(b.select("key", "hash")), layers.leaves(changed.select("key", "hash"))
+    n = layers.leaf_count(b, changed)
+    return layers.leaves(b.select("key", "hash"), n), layers.leaves(changed.select("key", "hash"), n)
 
 
 @query(f"WITH {fx.LAYERS}, {_LEAVES} SELECT u.key, u.hash, u.leaf_id FROM upd u JOIN ul USING (leaf_id) WHERE ul.leaf_hash NOT IN (SELECT leaf_hash FROM bl)")
@@ -204,14 +200,14 @@ def list_children(spark, sf):
     return listing.children(fx.files(spark, sf), "en")
 
 
-@query(f"""WITH {fx.FILES}, e AS (SELECT key, doc_id % 13 = 0 AS is_tombstone FROM files), asked AS (SELECT key AS path FROM files WHERE doc_id % 5 = 0 UNION SELECT DISTINCT lang FROM files UNION SELECT DISTINCT lang || '/' || source FROM files UNION SELECT 'en/sr' UNION SELECT 'zz')
+@query(f"""WITH {fx.FILES}, e AS (SELECT key, doc_id % 13 = 0 AS is_tombstone FROM files), asked AS (SELECT key AS path FROM files UNION SELECT DISTINCT lang FROM files UNION SELECT DISTINCT lang || '/' || source FROM files UNION SELECT 'en/sr' UNION SELECT 'zz')
     SELECT path, CASE WHEN e.key IS NOT NULL AND NOT e.is_tombstone THEN 'file' WHEN path IN (SELECT lang FROM files UNION SELECT lang || '/' || source FROM files) THEN 'directory' WHEN e.key IS NOT NULL THEN 'tombstone' ELSE 'missing' END AS kind
     FROM asked LEFT JOIN e ON e.key = path""")
 def resolve_kind(spark, sf):
     f = fx.files(spark, sf)
     entries = f.select("key", (F.col("doc_id") % 13 == 0).alias("is_tombstone"))
     path = lambda d, c: d.select(c.alias("path"))
-    asked = path(f.where("doc_id % 5 = 0"), F.col("key")).union(path(f, F.col("lang"))).union(path(f, F.concat_ws("/", "lang", "source"))).union(spark.createDataFrame([("en/sr",), ("zz",)], "path string"))
+    asked = path(f, F.col("key")).union(path(f, F.col("lang"))).union(path(f, F.concat_ws("/", "lang", "source"))).union(spark.createDataFrame([("en/sr",), ("zz",)], "path string"))
     return listing.resolve(entries, asked.distinct())
 
 

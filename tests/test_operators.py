@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import history, ingest, layers, listing, packing, reachability, registry, sequential
+from tessera.operators import history, ingest, layers, listing, packing, reachability, registry, sequential, vault
 from tessera.sources import store
 
 ENTRY = "key string, hash string, size long, is_tombstone boolean"
@@ -227,3 +227,35 @@ def test_store(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "one")).count() == spark.read.parquet(str(tmp_path / "two")).count() == 3
     data = spark.createDataFrame([(bytearray(b"0123456789"),)], "content binary")
     assert bytes(store.read_range(data, 3, 4).first()["content"]) == b"3456" and bytes(store.read_range(data, 8).first()["content"]) == b"89" and bytes(store.read_range(data, 20).first()["content"]) == b""
+
+
+def test_links_of_any_spelling(spark):
+    html = """<a class="x" href='/one'>1</a><A HREF="two">2</A><a href=three>3</a><a href="#part">4</a><a href="?q">5</a><a data-href="no" href = "//other/x">6</a><abbr href="never"><a href="http://h/dir/page">7</a>"""
+    pages = spark.createDataFrame([(1, "http://h/dir/page", html), (2, "http://h", '<a href="sub/x">'), (3, "http://h/a", None)], "page_id long, url string, html string")
+    assert {(r["page_id"], r["link"]) for r in ingest.page_links(pages).collect()} == {(1, "/one"), (1, "two"), (1, "three"), (1, "//other/x"), (1, "http://h/dir/page"), (2, "sub/x")}
+    targets = {(r["page_id"], r["target"]) for r in ingest.linked_pages(pages, F.lit("http://h/")).collect()}
+    assert targets == {(1, "http://h/one"), (1, "http://h/dir/two"), (1, "http://h/dir/three"), (2, "http://h/sub/x")}
+
+
+def test_root_hashes_of_deep_trees(spark, monkeypatch):
+    monkeypatch.setattr(vault, "CHILDREN", 4)
+    rows = [(t, f"k{k}", f"h{k}") for t in "ab" for k in range(100)] + [("c", f"k{k}", f"h{k % 99}") for k in range(100)] + [("d", "k1", "h1")]
+    roots = {r["t"]: r["root"] for r in vault.root_hashes(spark.createDataFrame(rows, "t string, key string, hash string"), "t").collect()}
+    assert roots["a"] == roots["b"] and len(set(roots.values())) == 3
+    assert vault.root_hashes(spark.createDataFrame([], "t string, key string, hash string"), "t").count() == 0
+
+
+def test_leaves_grow_with_the_data(spark, monkeypatch):
+    monkeypatch.setattr(layers, "LEAF", 1)
+    base = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("h").alias("hash"))
+    new = base.withColumn("hash", F.when(F.col("key") == "k7", "x").otherwise("h"))
+    n = layers.leaf_count(base, new)
+    assert n == 512
+    found = layers.leaf_diff(layers.leaves(new, n), layers.leaves(base, n)).select("key").collect()
+    assert "k7" in {r["key"] for r in found} and len(found) < 20
+
+
+def test_closure_writes_what_was_seen_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(reachability, "ROUNDS_APART", 3)
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(10)] + [("10", "2")], "parent string, child string")
+    assert {int(r["node"]) for r in reachability.closure(spark.createDataFrame([("0",)], "node string"), chain).collect()} == set(range(11))

@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_key_of_base_has_its_group(spark):
-    got = catalogue.queries()["boundary_groups_min1_all"](spark, SF)
+    got = catalogue.queries()["boundary_groups_min1"](spark, SF)
     base = fx.base(spark, SF).select("key")
     assert got.count() == base.count() and not base.exceptAll(got.select("key")).count()
 
@@ -15,12 +15,12 @@ def test_every_key_of_base_has_its_group(spark):
 def test_lookups_ask_for_every_key(spark):
     run = lambda name: catalogue.queries()[name](spark, SF)
     files, base, changes = fx.files(spark, SF), fx.base(spark, SF), fx.changes(spark, SF)
-    located = run("pack_locate_all")
+    located = run("pack_locate_tristate")
     assert not files.select("key").exceptAll(located.select("key")).count()
     assert not located.where("key like 'absent/%' and outcome <> 'unknown'").count() and located.where("key like 'absent/%'").count()
     gone = changes.where("is_tombstone").select("key")
     live = base.select("key").union(changes.select("key")).distinct().join(gone, "key", "left_anti")
-    assert not live.exceptAll(run("layered_point_get_all").select("key")).count()
-    assert run("blinded_lookup_all").count() == files.select("hash").distinct().count()
+    assert not live.exceptAll(run("layered_point_get").select("key")).count()
+    assert run("blinded_lookup").count() == files.select("hash").distinct().count()
     least = base.where("o_orderkey % 41 = 0").agg({"key": "min"}).first()[0]
-    assert run("floor_seek_all").agg({"changes": "sum"}).first()[0] == base.where(base.key >= least).count()
+    assert run("floor_seek").agg({"changes": "sum"}).first()[0] == base.where(base.key >= least).count()
