@@ -77,11 +77,17 @@ def linked_pages(pages: DataFrame, root: Column) -> DataFrame:
     return found.where(F.startswith("target", "root") & (F.col("target") != F.col("url"))).select("page_id", "target").distinct()
 
 
-def http_state(headers: DataFrame, state: DataFrame) -> DataFrame:
-    """Which pages to fetch again: unknown ones, and those whose length or time has changed."""
-    old = state.select("url", F.struct("length", "modified").alias("s"))
-    same = F.col("s.length").eqNullSafe(F.col("length")) & F.col("s.modified").eqNullSafe(F.col("modified"))
-    return headers.join(old, "url", "left").select("url", F.when(F.col("s").isNull(), "new").when(~same, "changed").otherwise("same").alias("action"))
+def http_state(headers: DataFrame, state: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """(url, action), one row for each header: new if its keys are not in the state, same if a record of them has its length and time, changed otherwise.
+
+    Nulls are values like others, in keys too. Headers and records that repeat are neither merged nor multiplied.
+    """
+    same = (*keys, "length", "modified")
+    joined = headers
+    for columns, mark in ((keys, "known"), (same, "kept")):
+        found = state.select(*(F.col(c).alias(f"{mark}_{c}") for c in columns)).distinct().withColumn(mark, F.lit(True))
+        joined = joined.join(found, [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in columns], "left")
+    return joined.select("url", F.when(F.col("known").isNull(), "new").when(F.col("kept").isNull(), "changed").otherwise("same").alias("action"))
 
 
 def fresh_path(links: DataFrame, current: DataFrame) -> DataFrame:

@@ -401,10 +401,11 @@ def linked_pages(spark, sf):
 
 @query("""SELECT url, CASE WHEN page_id % 5 = 0 THEN 'new' WHEN page_id % 3 = 0 OR page_id % 7 = 0 THEN 'changed' ELSE 'same' END AS action FROM pages""")
 def http_refetch(spark, sf):
-    p = fx.table(spark, sf, "pages")
-    seen = p.where("page_id % 5 <> 0").select("url", F.length("html").cast("long").alias("length"), F.col("page_id").alias("modified"))
-    now = p.select("url", (F.length("html") + F.when(F.expr("page_id % 3 = 0"), 1).otherwise(0)).cast("long").alias("length"), F.when(F.expr("page_id % 7 <> 0"), F.col("page_id")).alias("modified"))
-    return ingest.http_state(now, seen)
+    """Pages are known by their id and URL: several may share a URL, and each is asked for."""
+    p = fx.table(spark, sf, "pages").withColumn("length", F.length(F.coalesce("html", F.lit(""))).cast("long"))
+    seen = p.where("coalesce(page_id % 5 <> 0, true)").select("page_id", "url", "length", F.col("page_id").alias("modified"))
+    now = p.select("page_id", "url", (F.col("length") + F.when(F.expr("page_id % 3 = 0"), 1).otherwise(0)).alias("length"), F.when(F.expr("page_id % 7 <> 0"), F.col("page_id")).alias("modified"))
+    return ingest.http_state(now, seen, ("page_id", "url"))
 
 
 @query(f"""WITH {fx.FILES}, cur AS (SELECT key AS path, size, CASE WHEN doc_id % 6 = 1 THEN doc_id + 1 ELSE doc_id END AS mtime FROM files WHERE doc_id % 4 <> 0)
