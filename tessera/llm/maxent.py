@@ -7,14 +7,16 @@ their smoothed counts, with one place for words never seen, times the weights of
 
 P(word | leaf, context) = share(word) * exp(weight(context, word)) / norm(context)
 
-A context is a hash of the class and of a previous word that is not among the commonest (after those the share is left as it is). Every pair of a context and a common word of a
+A context is a hash of the class and of the previous word, whatever that is. Every pair of a context and one of the HEAD words of a
 last leaf that the training texts hold has a weight, so their number grows with the corpus. Pairs meet in shards by context, which take the gradient steps and score. Sums to one over all words.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .shared import lean, stage
 
 #: The commonest words alone in their classes, and all classes.
 ALONE, CLASSES = 12, 32
-#: At most this many words, the commonest, are sent to every task; the others are joined.
+#: At most this many words, the commonest, are sent to every task; the others meet by their hashes.
 HEAD = 1 << 17
 #: Leaves of a class with more than one word: all but the last are one word each.
 LEAVES = CLASSES
@@ -38,12 +40,14 @@ KINDS, DEEP = 4, 2
 STEPS, SPLIT = 16, 1 << 20
 #: Tokens of a gradient step, its rate, and how often the tasks' weights are averaged in one pass over the corpus.
 STEP, RATE, ROUNDS = 8_192, 0.1, 2
-#: Previous words beyond so many commonest make contexts; those with more tokens than CONTEXT make several, by hashes of the word before them.
-PAIR_FROM, CONTEXT = 1 << 14, 1 << 20
+#: Previous words from this rank on make contexts; those with more tokens than CONTEXT make several, by hashes of the word before them.
+PAIR_FROM, CONTEXT = 0, 1 << 20
 #: What a weight of a pair costs, in occurrences, and the steps; they start at the solution that holds where no weight is zero.
 DISCOUNT, PAIR_STEPS = 0.75, 4
 #: Rows of pairs that a shard solves at once, or those of one context.
 PAIR_ROWS = 1 << 19
+#: Rows that a task packs at once; training tokens for each shard where contexts and rare words meet, and for each where the sums of texts do.
+PACK, SHARD, SUMS = 1 << 20, 1 << 20, 1 << 22
 #: Words that a counting task holds at most.
 FLUSH = 300_000
 SMOOTH = 0.1
@@ -442,7 +446,7 @@ def _score(sent_head, sent):
                 yield rows(uid=uid[doc], held_out=held[doc], context=context, word=word, n=n)
             if len(b.tail):
                 doc, h, g, n = _grouped(h, np.searchsorted(b.starts, b.tail, side="right") - 1, h, g)
-                yield rows(uid=uid[doc], h=h, g=g, n=n)
+                yield rows(uid=uid[doc], held_out=held[doc], h=h, g=g, n=n)
 
     return run
 
@@ -487,36 +491,216 @@ def _solved(held: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarr
     return out
 
 
-def pair_scores(pairs: DataFrame, sent_head) -> DataFrame:
-    """(uid, pairs): the sum of the gains of each text's pairs (uid, held_out, context, word, n).
+_TYPES = ("u1", "u2", "u4", "u8", "f8")
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays as bytes: whole numbers from 0 on in as few bytes as the largest needs."""
+    parts = []
+    for c in columns:
+        k = 4 if c.dtype.kind == "f" else int(np.searchsorted([8, 16, 32], int(c.max()).bit_length())) if len(c) else 0
+        parts += [struct.pack("<BQ", k, len(c)), c.astype(_TYPES[k]).tobytes()]
+    return b"".join(parts)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        k, n = struct.unpack_from("<BQ", data, at)
+        out.append(np.frombuffer(data, _TYPES[k], n, at + 9))
+        at += 9 + out[-1].nbytes
+    return out
+
+
+def _shards(head: Head) -> tuple[int, int]:
+    """Shards of contexts (and as many of rare words), and of texts."""
+    return max(64, int(head.n) // SHARD), max(16, int(head.n) // SUMS)
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start, and the end."""
+    return np.r_[0, np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)]
+
+
+def _part(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash; shards are ranges of them."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _part_of_texts(uid: np.ndarray, shards: int) -> np.ndarray:
+    return (_mixed(uid >> 10) % np.uint32(shards)).astype(np.int64)
+
 
-    The rows of a context meet in one task, which learns its weights from those that are not held out and scores all. A context's previous word has less than
-    one in PAIR_FROM of the tokens, and CONTEXT of them where the words before it differ; a task holds PAIR_ROWS rows or those of one context.
+def _batch(blocks) -> pa.RecordBatch:
+    shard, data = zip(*blocks, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(data, pa.binary())], names=["shard", "block"])
+
+
+_BLOCKS = "shard long, block binary"
+
+
+def _pack(batches, head: Head):
+    """Blocks of the rows that _score gives: pairs by the shard of their context, then rare words by that of their hash, then texts by that of their sums."""
+    shards, of_texts = _shards(head)
+
+    def column(batch, name):
+        return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+    def blocks(held, first, keys, others):
+        """Sorted by the first key, whose runs (with the second key) are written once."""
+        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+        keyed = rows[0].view(np.uint64)
+        order = np.argsort(keyed) if keys == 1 else np.lexsort((rows[1], keyed))
+        rows = [c[order] for c in rows]
+        keyed, least = keyed[order], rows[keys].min()
+        rows[keys] = rows[keys] - least
+        cuts = _cuts(_part(keyed, shards))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = [c[lo:hi] for c in rows]
+            new = np.ones(hi - lo, bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in own[:keys]])
+            at = np.flatnonzero(new)
+            runs = [c[at].view(np.uint64) for c in own[:keys]]
+            yield first + int(_part(keyed[lo : lo + 1], shards)[0]), packed(np.array([least]), *runs, np.diff(np.r_[at, hi - lo]), *own[keys : keys + 3], *others(own[keys + 3 :]))
+
+    held, kinds = {"context": [], "h": []}, {"context": (0, 1, lambda c: ((c[0] + 1) & 0xFFFF, (c[0] + 1) >> 16)), "h": (shards, 2, lambda c: ())}
+    size = dict.fromkeys(held, 0)
+
+    def flushed(kind):
+        if held[kind]:
+            yield _batch(blocks(held[kind], *kinds[kind]))
+            held[kind], size[kind] = [], 0
+
+    for batch in batches:
+        names, n = batch.schema.names, batch.num_rows
+        if not n:
+            continue
+        for kind, keys, more in (("context", ["context"], ["word"]), ("h", ["h", "g"], [])):
+            if kind in names and batch.column(names.index(kind)).null_count < n:
+                held[kind].append([*(column(batch, k) for k in keys), column(batch, "uid"), column(batch, "held_out").astype(np.uint8), column(batch, "n").astype(np.int64), *(column(batch, k).astype(np.int64) for k in more)])
+                size[kind] += n
+                if size[kind] >= PACK:
+                    yield from flushed(kind)
+        if "n_tokens" in names and batch.column(names.index("n_tokens")).null_count < n:
+            doc_id = batch.column(names.index("doc_id"))
+            whole = pc.fill_null(doc_id, 0).to_numpy().view(np.uint64)
+            rows = [column(batch, "uid"), np.asarray(doc_id.is_null().to_numpy(zero_copy_only=False), np.uint8), whole, column(batch, "held_out").astype(np.uint8), *(column(batch, k) for k in ("n_tokens", "n_known", "base", "score"))]
+            part = _part_of_texts(rows[0], of_texts)
+            yield _batch((2 * shards + int(k), packed(*(c[part == k] for c in rows))) for k in np.unique(part))
+    for kind in held:
+        yield from flushed(kind)
+
+
+def _by_shard(batches):
+    """(shard, the arrays of its blocks) of blocks sorted by shard."""
+    rows = ((k, data) for b in batches for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    for shard, blocks in groupby(rows, lambda r: r[0]):
+        yield shard, (unpacked(data) for _, data in blocks)
+
+
+def _sums_by_text(uid: np.ndarray, columns: list[np.ndarray], shards: int):
+    """Blocks of the sums of each column by text: (shard, block)."""
+    order = np.argsort(uid, kind="stable")
+    uid = uid[order]
+    first = _cuts(uid)[:-1]
+    uid, sums = uid[first], [np.add.reduceat(c[order], first) for c in columns]
+    part = _part_of_texts(uid, shards)
+    order = np.argsort(part, kind="stable")
+    uid, sums, cuts = uid[order], [c[order] for c in sums], _cuts(part[order])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = _cuts(group := uid[lo:hi] >> 10)
+        yield int(part[order[lo]]), packed(group[at[:-1]], np.diff(at), uid[lo:hi] & 1023, *(c[lo:hi] for c in sums))
+
+
+def _pair_gains_of(parts, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(uid, gain times n) of all rows of a shard's contexts, solved PAIR_ROWS rows or one context at once."""
+    rows = [(least[0].astype(np.int64) + uid, held, np.repeat(c, times), low.astype(np.int64) + (high.astype(np.int64) << 16) - 1, n) for least, c, times, uid, held, n, low, high in parts]
+    uid, held, context, word, n = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.argsort(context)
+    uid, held, context, word, n = uid[order], held[order] > 0, context[order], word[order], n[order].astype(np.int64)
+    ends, out, lo = _cuts(context)[1:], np.empty(len(n)), 0
+    while lo < len(n):
+        hi = int(ends[min(np.searchsorted(ends, lo + PAIR_ROWS), len(ends) - 1)])
+        out[lo:hi] = _solved(held[lo:hi], context[lo:hi], word[lo:hi], n[lo:hi], shares) * n[lo:hi]
+        lo = hi
+    return uid, out
+
+
+def _rare_logs_of(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(uid, n times log10 of the smoothed count, n if the count is not 0) of all rows of a shard's rare words, which are counted here."""
+    rows = [(least[0].astype(np.int64) + uid, held, np.repeat(h, times), np.repeat(g, times), n) for least, h, g, times, uid, held, n in parts]
+    uid, held, h, g, n = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.lexsort((g, h))
+    uid, held, h, g, n = uid[order], held[order], h[order], g[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+    c = np.repeat(np.add.reduceat(np.where(held > 0, 0, n), first), np.diff(np.r_[first, len(n)]))
+    return uid, n * np.log10(c + SMOOTH), np.where(c > 0, n, 0)
+
+
+_TEXT_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, more double, also long, pairs double"
+
+
+def _text_sums(blocks: DataFrame, sent_head) -> DataFrame:
+    """A row for each text: its own figures, the sums over its rare words (more, also) and over its pairs.
+
+    The rows of a context meet in one task, which learns its weights from those that are not held out and scores all; those of a rare word
+    do for its count. A shard has about SHARD tokens, or one context; a context has CONTEXT tokens at most where the words before its previous word differ.
     """
 
-    def run(batches):
-        shares = 10 ** sent_head.value.open().inside
+    def solve(batches):
+        head = sent_head.value.open()
+        shares, (shards, of_texts) = 10**head.inside, _shards(head)
+        for shard, parts in _by_shard(batches):
+            if shard < shards:
+                uid, out = _pair_gains_of(parts, shares)
+                yield _batch(_sums_by_text(uid, [out], of_texts))
+            elif shard < 2 * shards:
+                uid, *out = _rare_logs_of(parts)
+                yield _batch(_sums_by_text(uid, out, of_texts))
+            else:
+                yield _batch((shard - 2 * shards, packed(*p)) for p in parts)
+
+    def texts(batches):
+        for _, parts in _by_shard(batches):
+            docs, sums = [], []
+            for p in parts:
+                if len(p) == 8:
+                    docs.append(p)
+                else:
+                    sums.append(((np.repeat(p[0], p[1]).astype(np.int64) << 10) + p[2], p[3:]))
+            own = [np.concatenate(c) for c in zip(*docs, strict=True)] if docs else [np.zeros(0, np.int64)] * 8
+            uid = np.unique(np.concatenate([own[0].astype(np.int64), *(u for u, _ in sums)]))
+            more, also, pairs = np.zeros(len(uid)), np.zeros(len(uid), np.int64), np.zeros(len(uid))
+            for u, c in sums:
+                at = np.searchsorted(uid, u)
+                if len(c) == 1:
+                    pairs[at] += c[0]
+                else:
+                    more[at] += c[0]
+                    also[at] += c[1].astype(np.int64)
+            absent, at = np.ones(len(uid), bool), np.searchsorted(uid, own[0].astype(np.int64))
+            absent[at] = False
+
+            def spread(c, kind, at=at, absent=absent):
+                out = np.zeros(len(absent), kind)
+                out[at] = c
+                return out
+
+            null = absent.copy()
+            null[at] |= own[1] > 0
+            columns = [pa.array(uid), pa.array(spread(own[2].astype(np.uint64).view(np.int64), np.int64), mask=null), pa.array(spread(own[3] > 0, bool), mask=absent)]
+            columns += [pa.array(spread(own[k].astype(t), t), mask=absent) for k, t in ((4, np.int64), (5, np.int64), (6, float), (7, float))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(more), pa.array(also), pa.array(pairs)], names=[c.split()[0] for c in _TEXT_SUMS.split(", ")])
+
+    shards, of_texts = _shards(sent_head.value)
+    met = blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(solve), _BLOCKS)
+    return met.repartition(of_texts, "shard").sortWithinPartitions("shard").mapInArrow(lean(texts), _TEXT_SUMS)
 
-        def solved(held):
-            uid, out, context, word, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(_solved(out, context, word, n, shares) * n)], names=["uid", "pairs"])
 
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cut = int(np.searchsorted(part[2], part[2][-1]))
-            if size + cut >= PAIR_ROWS and (cut or held[-1][2][-1] != part[2][0]):
-                yield solved([*held, [c[:cut] for c in part]])
-                held, size, part = [], 0, [c[cut:] for c in part]
-            held.append(part)
-            size += len(part[0])
-        if held:
-            yield solved(held)
-
-    rows = pairs.select("uid", "held_out", "context", "word", "n").repartition("context").sortWithinPartitions("context")
-    return rows.mapInArrow(lean(run), "uid long, pairs double").groupBy("uid").agg(F.sum("pairs").alias("pairs"))
+def pair_scores(pairs: DataFrame, sent_head) -> DataFrame:
+    """(uid, pairs): the sum of the gains of each text's pairs (uid, held_out, context, word, n); uid is not negative."""
+    rows = pairs.select("uid", "held_out", "context", "word", "n")
+    return _text_sums(rows.mapInArrow(lean(lambda batches: _pack(batches, sent_head.value)), _BLOCKS), sent_head).select("uid", "pairs")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -524,7 +708,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Words are lower-cased (A-Z); the end of a text is a token. The model learns from the texts whose crc32(doc_id) mod 10 is not 0,
     and all texts are scored whole. base_score is the log10 probability under smoothed word counts, score that under the model.
-    The commonest words are looked up in each task; what is left of each text is joined with the counts by word, and its pairs are scored where they meet.
+    The commonest words are looked up in each task; the others are counted where all their rows meet, and pairs are scored where those of their context do.
 
     Null and empty texts have the end as their only token. A null id counts as the empty string, which is held out. Rows that repeat are learned from and
     scored each for itself. Weights depend on how rows are dealt to tasks, as every task takes steps of its own, and on the order of sums of floats:
@@ -539,24 +723,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     words = _counted(learned)
     head = _head(words)
     sent, sent_head = spark.sparkContext.broadcast(train(learned, head)), spark.sparkContext.broadcast(head)
-    schema = "doc_id long, uid long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, g long, context long, word int, n int"
-    scored = stage(rows.mapInArrow(lean(_score(sent_head, sent)), schema), "scored")
-    pairs = pair_scores(scored.where("context is not null"), sent_head)
-    rest = scored.where("h is not null").select("uid", "h", "g", "n").join(words.select("h", "g", "c"), ["h", "g"], "left")
-    log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)
-    rest = rest.groupBy("uid").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
-    zero = F.lit(0)
-    return (
-        scored.where("n_tokens is not null")
-        .join(rest, "uid", "left")
-        .join(pairs, "uid", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("n_known") + F.coalesce("also", zero)).cast("long").alias("n_known"),
-            F.lit(head.n).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("more", zero)).alias("base_score"),
-            (F.col("score") + F.coalesce("more", zero) + F.coalesce("pairs", zero)).alias("score"),
-        )
+    score = _score(sent_head, sent)
+    texts = _text_sums(rows.mapInArrow(lean(lambda batches: _pack(score(batches), sent_head.value)), _BLOCKS), sent_head)
+    return texts.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.col("also")).alias("n_known"),
+        F.lit(head.n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("more")).alias("base_score"),
+        (F.col("score") + F.col("more") + F.col("pairs")).alias("score"),
     )

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import maxent
@@ -182,3 +183,35 @@ def test_texts_that_repeat_score_apart(spark, monkeypatch):
     by = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in maxent.lm_scores(docs).collect()}
     twice, once = (np.mean([by[d] for d, t in rows if (times[t] > 1) == many]) for many in (True, False))
     assert twice > once + 0.05
+
+
+def test_every_previous_word_makes_a_context(spark):
+    """Also the commonest ones and the start of a text: no token of a last leaf is without a context."""
+    texts = _zipf(random.Random(11), 300, 1500)
+    head = maxent._head(maxent._counted(spark.createDataFrame([(t,) for t in texts], "text string"))).open()
+    b = maxent.Batch([*texts, "never1 never2"], head)
+    _, _, word, n = b.pairs(head, maxent.hashes(b.rare)[:, 0])
+    assert n.sum() == (b.leaves == maxent.LEAVES - 1).sum() > 2000 and (word < 0).any()
+
+
+def test_blocks_hold_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "PACK", 50)
+    monkeypatch.setattr(maxent, "SHARD", 100)
+    head = maxent._head(maxent._counted(spark.createDataFrame([(t,) for t in _zipf(random.Random(12), 200, 1500)], "text string")))
+    shards, _ = maxent._shards(head)
+    rng = np.random.default_rng(5)
+    n = 700
+    rows = {"uid": rng.integers(1 << 33, (1 << 33) + 40, n), "held_out": rng.random(n) < 0.3, "n": rng.integers(1, 400, n)}
+    pairs = rows | {"context": rng.integers(-(1 << 62), 1 << 62, 20)[rng.integers(0, 20, n)], "word": rng.integers(-1, 1 << 17, n)}
+    names = rows | {"h": rng.integers(-(1 << 62), 1 << 62, 20)[rng.integers(0, 20, n)], "g": rng.integers(-3, 3, n)}
+    batches = [pa.RecordBatch.from_pydict({k: v[at : at + 90] for k, v in x.items()}) for x in (pairs, names) for at in range(0, n, 90)]
+    found = sorted(((k, d) for b in maxent._pack(batches, head) for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), key=lambda r: r[0])
+    got, homes = {"context": Counter(), "h": Counter()}, {}
+    for shard, data in found:
+        least, *keys, times, uid, held, count = (x.tolist() for x in maxent.unpacked(data)[: 6 if shard < shards else 7])
+        keys = [np.repeat(np.array(k, np.uint64), times).view(np.int64).tolist() for k in keys]
+        more = [] if shard >= shards else [[a + (b << 16) - 1 for a, b in zip(*(x.tolist() for x in maxent.unpacked(data)[6:]), strict=True)]]
+        got["context" if more else "h"].update(zip(*keys, [least[0] + u for u in uid], map(bool, held), count, *more, strict=True))
+        assert all(homes.setdefault((bool(more), k), shard) == shard for k in keys[0])
+    assert got["context"] == Counter(zip(*(pairs[k].tolist() for k in ("context", "uid", "held_out", "n", "word")), strict=True))
+    assert got["h"] == Counter(zip(*(names[k].tolist() for k in ("h", "g", "uid", "held_out", "n")), strict=True))
